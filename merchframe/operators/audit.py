@@ -280,13 +280,10 @@ def _per_check(found: dict[int, Column], kind: str) -> Column:
     return F.array(*[found.get(c[0], F.lit(None)).cast(kind) for c in CHECKS])
 
 
-def with_findings(signals: DataFrame) -> DataFrame:
-    """Add `findings`: the 20 findings of a store in report order.
-
-    Reads the signal columns plus store_url, product_url and `screenshots` (map view -> file).
-    """
+def _measured(signals: DataFrame) -> DataFrame:
+    """Add what the checks found on a store as arrays in check order, and its product page."""
     graded = _graded()
-    measured = signals.withColumns({
+    return signals.withColumns({
         "_passed": F.array(*[F.coalesce(F.expr(PASS_TESTS[c[0]]), F.lit(False)) for c in CHECKS]),
         "_evidence": _per_check(_evidence(), "string"),
         "_issue": _per_check({c: g[0] for c, g in graded.items()}, "string"),
@@ -294,29 +291,45 @@ def with_findings(signals: DataFrame) -> DataFrame:
         "_product": F.coalesce(F.nullif("product_url", F.lit("")), F.col("store_url")),
     })
 
+
+def _finding(c: Column, passed: Column, evidence: Column, issue: Column,
+             status: Column) -> list[Column]:
+    """Fields of one finding from its check and from what was found."""
+    yes_no = lambda yes, no: F.when(passed, yes).otherwise(no)
+    urls = F.when(c["pages"] == "base", F.array("store_url")).when(
+        c["pages"] == "both", F.array("store_url", "_product")).otherwise(F.array("_product"))
+    return [
+        *[c[n].alias(n) for n in ("ord", "check_id", "check_name", "severity", "category")],
+        passed.alias("passed"),
+        F.coalesce(status, yes_no("pass", "fail")).alias("status"),
+        F.coalesce(issue, yes_no(c["yes"], c["no"])).alias("issue"),
+        F.coalesce(evidence, yes_no(c["evidence_yes"], c["evidence_no"])).alias("evidence"),
+        c["impact"].alias("impact"), c["fix"].alias("fix"), urls.alias("urls"),
+        or_blank(F.col("screenshots")[c["view"]]).alias("screenshot"),
+        (F.size(urls) >= 3).alias("is_sitewide")]
+
+
+def with_findings(signals: DataFrame) -> DataFrame:
+    """Add `findings`: the 20 findings of a store in report order.
+
+    Reads the signal columns plus store_url, product_url and `screenshots` (map view -> file).
+    """
     def finding(c, i):
-        passed = F.get("_passed", i)
-        yes_no = lambda yes, no: F.when(passed, yes).otherwise(no)
-        urls = F.when(c["pages"] == "base", F.array("store_url")).when(
-            c["pages"] == "both", F.array("store_url", "_product")).otherwise(F.array("_product"))
-        return F.struct(
-            *[c[n].alias(n) for n in ("ord", "check_id", "check_name", "severity", "category")],
-            passed.alias("passed"),
-            F.coalesce(F.get("_status", i), yes_no("pass", "fail")).alias("status"),
-            F.coalesce(F.get("_issue", i), yes_no(c["yes"], c["no"])).alias("issue"),
-            F.coalesce(F.get("_evidence", i), yes_no(c["evidence_yes"], c["evidence_no"]))
-            .alias("evidence"),
-            c["impact"].alias("impact"), c["fix"].alias("fix"), urls.alias("urls"),
-            or_blank(F.col("screenshots")[c["view"]]).alias("screenshot"),
-            (F.size(urls) >= 3).alias("is_sitewide"))
-
-    return measured.withColumn("findings", F.transform(_check_table(), finding)).drop(
+        return F.struct(*_finding(c, F.get("_passed", i), F.get("_evidence", i),
+                                  F.get("_issue", i), F.get("_status", i)))
+    return _measured(signals).withColumn("findings", F.transform(_check_table(), finding)).drop(
         "_passed", "_evidence", "_issue", "_status", "_product")
 
 
 def build_findings(signals: DataFrame) -> DataFrame:
     """Long form: one row per store and check."""
-    return with_findings(signals).select("store_url", F.inline("findings"))
+    found = F.arrays_zip("_passed", "_evidence", "_issue", "_status")
+    rows = _measured(signals).select(
+        "store_url", "_product", "screenshots", F.posexplode(found).alias("_i", "_found"))
+    rows = rows.withColumn("_check", F.get(_check_table(), F.col("_i")))
+    return rows.select("store_url", *_finding(
+        F.col("_check"), F.col("_found._passed"), F.col("_found._evidence"),
+        F.col("_found._issue"), F.col("_found._status")))
 
 
 # --- reports on the findings of a store -------------------------------------------------
@@ -352,8 +365,10 @@ def severity_buckets(findings: DataFrame) -> DataFrame:
 
 def top_issues(with_array: DataFrame) -> DataFrame:
     """(store_url, severity, rank, issue): the first failed checks per severity."""
-    parts = [F.slice(F.filter("findings", lambda f, s=s: ~f["passed"] & (f["severity"] == s)), 1, n)
-             for s, n in TOP_ISSUES.items()]
+    def failed(severity):
+        return F.filter("findings", lambda f: ~f["passed"] & (f["severity"] == severity))
+
+    parts = [F.slice(failed(s), 1, n) for s, n in TOP_ISSUES.items()]
     ranked = [F.transform(p, lambda f, i: F.struct(
         f["severity"].alias("severity"), (i + 1).alias("rank"), f["issue"].alias("issue")))
         for p in parts]

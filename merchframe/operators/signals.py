@@ -91,12 +91,12 @@ def announcement_bar(page: Column) -> Column:
 
 def trust_badge_count(page: Column) -> Column:
     """Matches over all badge patterns; an element may count more than once."""
-    hits = [lambda n, w=w: class_has(n, w) for w in ("trust", "badge", "review", "rating")]
-    hits.append(lambda n: class_is(n, "trustpilot"))
-    total = F.lit(0)
-    for hit in hits:
-        total = total + F.size(select(page, hit))
-    return total
+    def count(test):
+        return F.size(select(page, test))
+
+    return (count(lambda n: class_has(n, "trust")) + count(lambda n: class_has(n, "badge"))
+            + count(lambda n: class_has(n, "review")) + count(lambda n: class_has(n, "rating"))
+            + count(lambda n: class_is(n, "trustpilot")))
 
 
 def email_input_count(page: Column) -> Column:

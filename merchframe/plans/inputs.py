@@ -356,7 +356,8 @@ def home_html() -> Column:
     c = _c().cast("string")
     return F.concat(
         F.lit("<!doctype html><html><head>"),
-        every(3, "<title> Shop <!-- c -->number "), F.when(_c() % 3 == 0, c), F.lit("" "</title>"),
+        F.when(_c() % 3 == 0, F.concat(
+            F.lit("<title> Shop <!-- c -->number "), c, F.lit("</title>"))).otherwise(""),
         every(4, '<meta name="Description" content=" All we sell ">'),
         every(6, '<meta property="og:description" content="Shared text">'),
         every(5, '<link rel="stylesheet" href="/x.css"><link rel="alternate Canonical" href="/home">'),
