@@ -55,31 +55,36 @@ def header_names(header_cells: Column) -> Column:
 
 
 def unique_headers(names: Column) -> Column:
-    """Repeated names get a running suffix."""
-    def suffixed(name, i):
-        earlier = F.size(F.filter(F.slice(names, F.lit(1), i), lambda x: x == name))
-        return F.when(earlier == 0, name).otherwise(
-            F.concat(name, F.lit("_"), earlier.cast("string")))
-    return F.transform(names, suffixed)
+    """Repeated names get a running suffix: array of struct(raw, name)."""
+    start = F.array().cast("array<struct<raw:string,name:string>>")
 
+    def add(done, raw):
+        earlier = F.size(F.filter(done, lambda d: d["raw"] == raw))
+        name = F.when(earlier == 0, raw).otherwise(
+            F.concat(raw, F.lit("_"), earlier.cast("string")))
+        return F.concat(done, F.array(F.struct(raw.alias("raw"), name.alias("name"))))
+    return F.aggregate(names, start, add)
 
-def kept_columns(names: Column) -> Column:
-    """0-based indexes of the columns to keep: placeholder columns go, unless all would."""
-    indexes = F.sequence(F.lit(0), F.size(names) - 1)
-    real = F.filter(
-        indexes, lambda i: ~F.lower(clean_value(F.get(names, i))).startswith("unnamed"))
-    return F.when(F.size(real) > 0, real).otherwise(indexes)
+
+def kept_columns(unique: Column) -> Column:
+    """Columns to keep as struct(name, idx): placeholder columns go, unless all would."""
+    numbered = F.transform(unique, lambda u, i: F.struct(u["name"].alias("name"), i.alias("idx")))
+    real = F.filter(numbered, lambda c: ~F.lower(clean_value(c["name"])).startswith("unnamed"))
+    none = F.array().cast("array<struct<name:string,idx:int>>")
+    return F.coalesce(F.nullif(real, none), numbered)
 
 
 def feed_headers(feed_rows: DataFrame) -> DataFrame:
     """(feed_id, header_pos, width, headers, keep, duplicate_names): one row per feed."""
-    named = detect_header(feed_rows).withColumn("_raw", header_names(F.col("header_cells")))
-    named = named.withColumn("names", unique_headers(F.col("_raw")))
-    return named.withColumn("keep", kept_columns(F.col("names"))).select(
+    named = detect_header(feed_rows).withColumn(
+        "_unique", unique_headers(header_names(F.col("header_cells"))))
+    named = named.withColumn("_kept", kept_columns(F.col("_unique")))
+    names = F.transform("_unique", lambda u: u["name"])
+    return named.select(
         "feed_id", "header_pos", "width",
-        F.transform("keep", lambda i: F.get("names", i)).alias("headers"),
-        "keep",
-        (F.size(F.array_distinct("names")) < F.size("names")).alias("duplicate_names"),
+        F.transform("_kept", lambda c: c["name"]).alias("headers"),
+        F.transform("_kept", lambda c: c["idx"]).alias("keep"),
+        (F.size(F.array_distinct(names)) < F.size("_unique")).alias("duplicate_names"),
     )
 
 

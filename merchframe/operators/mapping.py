@@ -115,12 +115,12 @@ def map_feeds(headers: DataFrame) -> DataFrame:
 
     Columns that hold a status or published flag are forced onto those targets.
     """
-    def forced(target, i):
-        name = F.lower(strip(F.get("headers", i)))
+    def forced(target, header):
+        name = F.lower(strip(header))
         return (F.when((target == STATUS) | (name == "status"), STATUS)
                 .when((target == PUBLISHED) | (name == PUBLISHED.lower()), PUBLISHED)
                 .otherwise(target))
-    return auto_map(headers).withColumn("targets", F.transform("auto_targets", forced))
+    return auto_map(headers).withColumn("targets", F.zip_with("auto_targets", "headers", forced))
 
 
 def mapping_rows(mapped: DataFrame) -> DataFrame:
@@ -135,16 +135,19 @@ def mapping_rows(mapped: DataFrame) -> DataFrame:
         mapping_confidence("m.client_col", target).alias("confidence"))
 
 
-def field_map(headers, targets) -> Column:
+def field_map(targets) -> Column:
     """map target -> 0-based column index; the first column of a target wins."""
-    targets = col(targets)
-    used = F.filter(F.array_distinct(targets), lambda t: ~t.isin("", SKIP_LABEL))
-    return F.map_from_arrays(
-        used, F.transform(used, lambda t: (F.array_position(targets, t) - 1).cast("int")))
+    placed = F.transform(targets, lambda t, i: F.struct(t.alias("target"), i.alias("idx")))
+
+    def add(done, c):
+        skip = c["target"].isin("", SKIP_LABEL) | F.exists(done, lambda d: d["target"] == c["target"])
+        return F.when(skip, done).otherwise(F.concat(done, F.array(c)))
+    start = F.array().cast("array<struct<target:string,idx:int>>")
+    return F.map_from_entries(F.aggregate(placed, start, add))
 
 
 def resolve_field_map(mapped: DataFrame) -> DataFrame:
-    return mapped.withColumn("field_map", field_map("headers", "targets"))
+    return mapped.withColumn("field_map", field_map("targets"))
 
 
 def require_title(mapped: DataFrame) -> DataFrame:

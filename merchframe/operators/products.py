@@ -12,10 +12,12 @@ from merchframe.functions.urls import absolute_image_url
 from merchframe.functions.values import (
     norm_bool, norm_inventory_policy, norm_status, split_option_values,
 )
-from merchframe.operators.mapping import resolve_field_map
+from merchframe.operators.feeds import feed_headers, normalize_feeds
+from merchframe.operators.mapping import feed_constants, map_feeds, resolve_field_map
 from merchframe.schema import (
     BLANK_HANDLE, DEFAULTS, OPTION_NAME_DEFAULTS, PRODUCT_LEVEL, TARGET_COLUMNS,
 )
+from merchframe.session import settle
 
 BLOCK_BITS = 16
 OPTIONS = (1, 2, 3)
@@ -210,6 +212,18 @@ def generate(rows: DataFrame, mapped: DataFrame, constants: DataFrame | None = N
     return output_rows(expand_variants(attach_active_product(projected, bits)))
 
 
+def prepare_feeds(feed_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(clean body rows, mapped headers) of raw feeds, both written once for later passes."""
+    mapped = settle(map_feeds(feed_headers(feed_rows)), "mapped")
+    return settle(normalize_feeds(feed_rows, mapped), "rows"), mapped
+
+
+def generate_feeds(feed_rows: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """Raw feeds to output rows, with one constant status and published flag per feed."""
+    rows, mapped = prepare_feeds(feed_rows)
+    return generate(rows, mapped, feed_constants(rows, mapped), bits)
+
+
 def generation_totals(product_rows: DataFrame) -> DataFrame:
     """(feed_id, products, variants, rows) per feed."""
     return product_rows.groupBy("feed_id").agg(

@@ -151,7 +151,8 @@ FROM raw JOIN h USING (feed_id) WHERE pos > header_pos""")
 def _names(spark, sf):
     raw = feeds.detect_header(I.supplier_feeds(spark, sf)).withColumn(
         "raw", feeds.header_names(F.col("header_cells")))
-    return raw.select("feed_id", F.posexplode(feeds.unique_headers(F.col("raw"))).alias("i", "name"))
+    return raw.select("feed_id", F.posexplode(feeds.unique_headers(F.col("raw"))).alias("i", "u")).select(
+        "feed_id", "i", "u.name")
 
 
 def _unique(names):

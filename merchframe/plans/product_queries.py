@@ -6,12 +6,12 @@ from merchframe import schema as S
 from merchframe.functions import urls, values
 from merchframe.functions.text import clean_value, slugify
 from merchframe.functions.values import fixed2
-from merchframe.operators import feeds, mapping, payloads, products
+from merchframe.operators import mapping, payloads, products
 from merchframe.plans import inputs as I
 from merchframe.plans.feed_queries import CONSTANT_SQL, joined
 from merchframe.plans.registry import register
 from merchframe.plans.sql import generated, options, pick, slug, source, strip
-from merchframe.session import shared_folder
+from merchframe.session import settle, shared_folder
 from merchframe.sources.sinks import write_product_csv
 
 
@@ -19,20 +19,13 @@ def snake(target: str) -> str:
     return "".join(c if c.isalnum() else "_" for c in target.lower()).strip("_").replace("__", "_")
 
 
-def _prepared(spark, sf, continuation):
-    rows = I.supplier_feeds(spark, sf, continuation)
-    headers = feeds.feed_headers(rows)
-    return feeds.normalize_feeds(rows, headers), mapping.map_feeds(headers)
-
-
 def projected(spark, sf, continuation=True):
-    rows, mapped = _prepared(spark, sf, continuation)
+    rows, mapped = products.prepare_feeds(I.supplier_feeds(spark, sf, continuation))
     return products.project_fields(rows, mapped)
 
 
 def product_rows(spark, sf, continuation=True):
-    rows, mapped = _prepared(spark, sf, continuation)
-    return products.generate(rows, mapped, mapping.feed_constants(rows, mapped))
+    return products.generate_feeds(I.supplier_feeds(spark, sf, continuation))
 
 
 def columns(*targets, continuation=True):
@@ -355,7 +348,7 @@ SELECT store_url || '/collections/all' AS feed_id,
 
 def crawl_products(spark, sf):
     """Crawled stores all the way to product rows."""
-    feed = payloads.drafts_to_feed(payloads.crawl_drafts(_joined_crawl(spark, sf)))
+    feed = settle(payloads.drafts_to_feed(payloads.crawl_drafts(_joined_crawl(spark, sf))), "drafts")
     mapped = mapping.map_feeds(payloads.draft_headers(feed))
     rows = products.generate(feed, mapped, bits=payloads.CRAWL_BLOCK_BITS)
     return rows.select("feed_id", "pos", *[F.col(f"`{t}`").alias(snake(t)) for t in (

@@ -23,8 +23,11 @@ def write_product_csv(product_rows: DataFrame, folder: str, by_feed: bool = Fals
 
 
 def write_audit_json(documents: DataFrame, folder: str) -> None:
-    """One JSON document per store in folders named by domain and day."""
+    """One JSON line per store, named by domain and day, in one folder per day.
+
+    A folder per store would leave a large run with one tiny file per store.
+    """
     day = F.date_format(F.to_timestamp("audit_date"), "yyyy-MM-dd")
     documents.select(
-        F.concat_ws("_", clean_domain("store_url"), day).alias("audit"), "document.*"
-    ).write.mode("error").partitionBy("audit").json(folder)
+        day.alias("day"), F.concat_ws("_", clean_domain("store_url"), day).alias("audit"),
+        "document.*").write.mode("error").partitionBy("day").json(folder)
