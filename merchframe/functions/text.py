@@ -33,7 +33,9 @@ def or_blank(c) -> Column:
 
 def first_text(*cs) -> Column:
     """First of the columns that is neither NULL nor empty, else an empty string."""
-    return F.coalesce(*[F.nullif(col(c), F.lit("")) for c in cs], F.lit(""))
+    # A filter names each column once; nullif would copy its expression.
+    filled = F.filter(F.array(*[col(c) for c in cs]), lambda c: c != "")
+    return F.coalesce(F.get(filled, F.lit(0)), F.lit(""))
 
 
 def clean_value(c) -> Column:

@@ -21,8 +21,16 @@ def json_get(v, path: str, kind: str = "variant") -> Column:
 
 
 def json_kind(value: Column) -> Column:
-    """Type name of a JSON value; NULL for a missing one and for JSON null."""
-    return F.nullif(F.schema_of_variant(value), F.lit("VOID"))
+    """Type name of a JSON value: NULL for a missing one, VOID for JSON null.
+
+    Spark describes the whole value, so keep this away from whole documents.
+    """
+    return F.schema_of_variant(value)
+
+
+def parse_object(body) -> Column:
+    """Parsed JSON object; NULL for broken JSON and for other JSON values."""
+    return F.when(strip(body).startswith("{"), F.try_parse_json(col(body)))
 
 
 def is_object(value: Column) -> Column:
@@ -37,10 +45,9 @@ def as_items(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
-def scalar_text(value: Column) -> Column:
-    """Text of a scalar; a fraction that is whole keeps its ".0"."""
-    whole_fraction = json_kind(value).rlike(r"^DECIMAL\((\d|1[0-8]),0\)$")
-    return F.when(whole_fraction, F.concat(as_text(value), F.lit(".0"))).otherwise(as_text(value))
+def _printed(kind: Column, text: Column) -> Column:
+    """A fraction that is whole keeps its ".0"."""
+    return F.when(kind.rlike(r"^DECIMAL\((\d|1[0-8]),0\)$"), F.concat(text, F.lit(".0"))).otherwise(text)
 
 
 def _filled(kind: Column, text: Column) -> Column:
@@ -49,24 +56,32 @@ def _filled(kind: Column, text: Column) -> Column:
     return strip(F.when(empty, "").otherwise(text))
 
 
+def scalar_text(value: Column) -> Column:
+    return _printed(json_kind(value), as_text(value))
+
+
 def filled_text(value: Column) -> Column:
     """Stripped text of a scalar; blank for missing, zero and false values."""
     return _filled(json_kind(value), scalar_text(value))
 
 
-def with_scalars(df: DataFrame, source: str, names: list[str]) -> DataFrame:
+def with_scalars(df: DataFrame, source: str, paths: dict[str, str]) -> DataFrame:
     """Add struct `<source>_fields` with struct(kind, text, filled) of some JSON fields.
 
-    All fields go through one lambda, which keeps the generated code small however many there are.
+    All fields go through one lambda, which keeps the generated code small however many there
+    are, and each is described and printed once.
     """
-    typed = F.transform(F.array(*[json_get(source, f"$.{n}") for n in names]),
-                        lambda v: F.struct(json_kind(v).alias("kind"), scalar_text(v).alias("text")))
-    filled = F.transform("_typed", lambda s: F.struct(
+    typed = F.transform(F.array(*[json_get(source, f"$.{p}") for p in paths.values()]),
+                        lambda v: F.struct(json_kind(v).alias("kind"), as_text(v).alias("raw")))
+    texts = F.transform("_typed", lambda s: F.struct(
+        s["kind"].alias("kind"), _printed(s["kind"], s["raw"]).alias("text")))
+    filled = F.transform("_texts", lambda s: F.struct(
         s["kind"].alias("kind"), s["text"].alias("text"),
         _filled(s["kind"], s["text"]).alias("filled")))
-    out = df.withColumn("_typed", typed).withColumn("_filled", filled)
+    out = df.withColumn("_typed", typed).withColumn("_texts", texts).withColumn("_filled", filled)
     return out.withColumn(f"{source}_fields", F.struct(
-        *[F.get("_filled", F.lit(i)).alias(n) for i, n in enumerate(names)])).drop("_typed", "_filled")
+        *[F.get("_filled", F.lit(i)).alias(n) for i, n in enumerate(paths)])).drop(
+        "_typed", "_texts", "_filled")
 
 
 # --- listing pages ----------------------------------------------------------------------
@@ -93,61 +108,52 @@ def listing_handles(listing: DataFrame) -> DataFrame:
 
 def is_catalogue_response(status, content_type, body) -> Column:
     """A store's probe answer is a catalogue: an object with `products`, and not an error page."""
-    parsed = F.try_parse_json(col(body))
+    parsed = parse_object(body)
     json_type = F.contains(F.lower(or_blank(content_type)), F.lit("json"))
     failed = (col(status) >= 400) & (~json_type | (col(status) == 404))
-    return ~failed & is_object(parsed) & json_get(parsed, "$.products").isNotNull()
+    return ~failed & F.coalesce(json_get(parsed, "$.products").isNotNull(), F.lit(False))
 
 
 # --- product payloads -------------------------------------------------------------------
 
 def parse_products(detail: DataFrame) -> DataFrame:
     """Add `product` (NULL where the body isn't a JSON object) to captured payloads."""
-    parsed = F.try_parse_json("body")
-    return detail.withColumn("product", F.when(is_object(parsed), parsed))
+    return detail.withColumn("product", parse_object("body"))
 
 
-def single_html_string(value: Column) -> Column:
+def single_html_string(text: Column, fragments: Column) -> Column:
     """Markup as one cell: fragments joined, line breaks to one blank, never split."""
-    parts = F.transform(as_items(value), as_text)
-    text = F.coalesce(F.array_join(F.array_compact(parts), ""), as_text(value), F.lit(""))
-    return strip(F.regexp_replace(text, "[\r\n]+", " "))
-
+    whole = F.coalesce(F.array_join(F.filter(fragments, lambda f: f.isNotNull()), ""), text, F.lit(""))
+    return strip(F.regexp_replace(whole, "[\r\n]+", " "))
 
-def description(product) -> Column:
-    body = json_get(product, "$.body_html")
-    has_body = F.coalesce(as_text(body) != "", F.lit(False))
-    return single_html_string(F.when(has_body, body).otherwise(json_get(product, "$.description")))
 
+def join_tags(kind: Column, text: Column, items: Column) -> Column:
+    listed = F.filter(F.transform(items, filled_text), lambda t: t != "")
+    return F.when(kind == "STRING", text).otherwise(or_blank(F.array_join(listed, ", ")))
 
-def join_tags(value: Column) -> Column:
-    items = F.filter(F.transform(as_items(value), filled_text), lambda t: t != "")
-    return F.when(json_kind(value) == "STRING", as_text(value)).otherwise(
-        or_blank(F.array_join(items, ", ")))
 
-
-def option_names(value: Column) -> Column:
+def option_names(items: Column) -> Column:
     """array of three names; strings or {name}, the placeholder name blanked."""
     def name(option):
         text = F.when(is_object(option), filled_text(json_get(option, "$.name"))).otherwise(
             strip(or_blank(as_text(option))))
         return F.when(F.lower(text) == PLACEHOLDER_OPTION_NAME, "").otherwise(text)
-    found = F.transform(F.slice(F.coalesce(as_items(value), F.array().cast("array<variant>")), 1, 3),
-                        name)
-    return F.concat(found, F.array_repeat(F.lit(""), 3 - F.size(found)))
+    blanks = F.array_repeat(F.lit(""), 3)
+    found = F.transform(F.slice(items, 1, 3), name)
+    return F.slice(F.coalesce(F.concat(found, blanks), blanks), 1, 3)
 
 
-def _source(value: Column) -> Column:
-    return F.when(is_object(value), as_text(json_get(value, "$.src"))).otherwise(as_text(value))
+def _source(value: Column, src: Column) -> Column:
+    """Link of an image given as a string or as an object with `src`."""
+    return F.when(value["kind"].startswith("OBJECT"), src["text"]).when(
+        value["kind"] != "VOID", value["text"])
 
 
-def pick_image(product) -> Column:
+def pick_image(fields: Column) -> Column:
     """Featured image, else the first of the images; with its protocol."""
-    featured = json_get(product, "$.featured_image")
-    featured_text = F.when(is_object(featured) | (json_kind(featured) == "STRING"),
-                           _source(featured))
-    return absolute_image_url(first_text(
-        featured_text, _source(json_get(product, "$.images[0]"))))
+    featured = F.when(fields["featured"]["kind"].rlike("^(OBJECT|STRING)"),
+                      _source(fields["featured"], fields["featured_src"]))
+    return absolute_image_url(first_text(featured, _source(fields["image"], fields["image_src"])))
 
 
 def option_value(text: Column) -> Column:
@@ -174,22 +180,39 @@ def variant_image(variant: Column, product_image: Column) -> Column:
             .otherwise(product_image))
 
 
+PRODUCT_PATHS = {
+    **{n: n for n in ("title", "handle", "vendor", "type", "product_type", "price",
+                      "compare_at_price", "body_html", "description", "tags")},
+    "featured": "featured_image", "featured_src": "featured_image.src",
+    "image": "images[0]", "image_src": "images[0].src",
+}
+VARIANT_PATHS = {n: n for n in (
+    "sku", "barcode", "option1", "option2", "option3", "price", "compare_at_price",
+    "inventory_quantity")}
+
+
 def product_scalars(products: DataFrame) -> DataFrame:
     """Add the product-level draft fields to parsed products."""
-    get = lambda name: json_get("product", f"$.{name}")
-    fields = with_scalars(products, "product", [
-        "title", "handle", "vendor", "type", "product_type", "price", "compare_at_price"])
-    text = lambda name: F.col(f"product_fields.{name}.filled")
-    return fields.withColumns({
-        "title": text("title"),
-        "url_handle": first_text(text("handle"), strip("handle")),
-        "description": description("product"),
-        "vendor": text("vendor"),
-        "type": first_text(text("type"), text("product_type")),
-        "tags": join_tags(get("tags")),
-        "option_names": option_names(get("options")),
-        "image": pick_image("product"),
+    rows = with_scalars(products, "product", PRODUCT_PATHS)
+    # Lists are read once, as columns of their own.
+    lists = rows.withColumns({
+        f"_{n}": json_get("product", f"$.{n}", "array<variant>")
+        for n in ("body_html", "description", "tags", "options")})
+    field = F.col("product_fields")
+    has_body = F.coalesce(field["body_html"]["text"] != "", F.lit(False))
+    body = F.when(has_body, field["body_html"]["text"]).otherwise(field["description"]["text"])
+    parts = F.transform(F.when(has_body, F.col("_body_html")).otherwise(F.col("_description")), as_text)
+    out = lists.withColumns({
+        "title": field["title"]["filled"],
+        "url_handle": first_text(field["handle"]["filled"], strip("handle")),
+        "description": single_html_string(body, parts),
+        "vendor": field["vendor"]["filled"],
+        "type": first_text(field["type"]["filled"], field["product_type"]["filled"]),
+        "tags": join_tags(field["tags"]["kind"], field["tags"]["text"], F.col("_tags")),
+        "option_names": option_names(F.col("_options")),
+        "image": pick_image(field),
     })
+    return out.drop("_body_html", "_description", "_tags", "_options")
 
 
 def explode_variants(products: DataFrame) -> DataFrame:
@@ -203,9 +226,7 @@ def explode_variants(products: DataFrame) -> DataFrame:
 def make_drafts(exploded: DataFrame, keep: list[str]) -> DataFrame:
     """Columns `keep`, variant_idx and the 21 draft fields."""
     is_first = F.col("variant_idx") == 0
-    rows = with_scalars(exploded, "variant", [
-        "sku", "barcode", "option1", "option2", "option3", "price", "compare_at_price",
-        "inventory_quantity"])
+    rows = with_scalars(exploded, "variant", VARIANT_PATHS)
     field = lambda name, part: F.col(f"variant_fields.{name}.{part}")
 
     def priced(name, part):

@@ -312,8 +312,15 @@ register_drafts("clamp_inventory", "inventory_quantity")
 register_drafts("variant_image", "product_image_url")
 register_drafts("first_variant_only", "title", "description", "barcode", "product_image_url", "image_position", "status")
 register_drafts("normalize_prices", "price", "compare_at_price")
-register("pick_image", lambda spark, sf: payloads.parse_products(I.product_payloads(spark, sf)).where(
-    "product is not null").select("store_url", "handle", payloads.pick_image("product").alias("image")), f"""
+
+
+def pick_image(spark, sf):
+    parsed = payloads.parse_products(I.product_payloads(spark, sf)).where("product is not null")
+    rows = payloads.with_scalars(parsed, "product", payloads.PRODUCT_PATHS)
+    return rows.select("store_url", "handle", payloads.pick_image(F.col("product_fields")).alias("image"))
+
+
+register("pick_image", pick_image, f"""
 SELECT {_URL} AS store_url, 'p-' || o_orderkey AS handle,
   {pick(['https://cdn/f.jpg', 'https://cdn/s.jpg', 'https://cdn/i.jpg', 'https://cdn/l.jpg'], 'o_orderkey')} AS image
 FROM orders WHERE o_orderkey % 47 <> 0 AND o_orderkey % 41 <> 0""")
