@@ -1,6 +1,8 @@
 """Registered queries of this subpackage."""
 
-from merchframe.llm import setsketch
+from pyspark.sql import functions as F
+
+from merchframe.llm import line_dedup, pii, setsketch, toxicity
 from merchframe.llm.common import read
 
 QUERIES = {}
@@ -13,5 +15,11 @@ def _register(name, run, sql=None):
         ORACLES[name] = sql
 
 
+_register("op4_line_dedup",
+          lambda spark, sf_dir: line_dedup.dedup_lines(read(spark, sf_dir, "documents")))
+_register("op3_toxicity_neighbours",
+          lambda spark, sf_dir: toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
+_register("op5_personal_data", lambda spark, sf_dir: pii.find_personal_data(read(spark, sf_dir, "documents")).select(
+    "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans"))
 _register("op9_setsketch_near_duplicates",
           lambda spark, sf_dir: setsketch.near_duplicates(read(spark, sf_dir, "documents")))
