@@ -1,8 +1,11 @@
 """Registered queries of this subpackage."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from merchframe.llm import chat, fingerprints, line_dedup, packing, pii, setsketch, sharding, toxicity
+import corpus_pipeline
+from merchframe.llm import (
+    chat, fingerprints, line_dedup, packing, pii, setsketch, sharding, toxicity, unigram, vp_search)
 from merchframe.llm.common import read
 
 QUERIES = {}
@@ -38,3 +41,13 @@ def _conversations(spark, sf_dir):
 _register("op8_chat_formatting", lambda spark, sf_dir: chat.digest(chat.format_conversations(_conversations(spark, sf_dir))))
 _register("op10_one_permutation_fingerprints",
           lambda spark, sf_dir: fingerprints.fingerprints(read(spark, sf_dir, "documents")))
+_register("op6_vantage_point_search", lambda spark, sf_dir: vp_search.nearest(read(spark, sf_dir, "embeddings")))
+
+
+def _sentencepiece(spark, sf_dir):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return unigram.decode(unigram.encode(read(spark, sf_dir, "documents"), path), path)
+
+
+_register("op1_sentencepiece_scan", _sentencepiece)
+_register("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
