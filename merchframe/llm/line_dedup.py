@@ -9,8 +9,8 @@ line (smaller doc_id, then smaller line number) has Jaccard similarity 0.8 or mo
 3. Prefix filter: similar lines share one of the first floor(n / 5) + 1 tokens. Candidates must also
    pass the length filter, the positional filter and a parity bitmap, which bounds the symmetric
    difference of two sets from below.
-4. Each line is first held against the first and the preceding line on its three rarest tokens.
-   This settles members of large groups with two candidates a token instead of all pairs. Lines
+4. Each line is first held against the first and the four preceding lines on its three rarest tokens.
+   This settles members of large groups with five candidates a token instead of all pairs. Lines
    still open are joined with all earlier lines on all prefix tokens.
 5. Candidates are verified on their whole token sets.
 """
@@ -23,8 +23,9 @@ from merchframe.llm.common import settle, small_side
 MIN_TOKENS = 5
 #: Tokens whose frequency class is kept, and slots of the table that keeps them: bounds on its size.
 FREQUENT_TOKENS, FREQUENCY_SLOTS = 32_768, 65_536
-#: Rarest tokens of a line on which it meets the first and the preceding line.
-LEAD_TOKENS = 3
+#: Rarest tokens of a line on which it meets other lines first, and how many on each: the first line
+#: and those just before it. Lines that find none there meet all others.
+LEAD_TOKENS, MATES = 3, 5
 
 _COUNT_SLOTS = 1 << 22
 _NO_DOC = -(2**63)
@@ -58,16 +59,14 @@ def _frequency_classes(docs: DataFrame) -> list[int]:
 
 def _tokens(line: Column, classes: Column) -> Column:
     """Distinct tokens as numbers that sort by rarity: frequency class above 57 bits of a hash."""
-    def number(word):
-        h = F.xxhash64(word)
-        place = F.get(classes, h.bitwiseAND(F.lit(FREQUENCY_SLOTS - 1)).cast("int"))
-        return place.cast("long") * F.lit(1 << 57) + h.bitwiseAND(F.lit((1 << 57) - 1))
-    words = F.filter(F.split(line, " "), lambda w: w != "")
-    return F.sort_array(F.array_distinct(F.transform(words, number)))
+    hashes = F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+    return F.sort_array(F.transform(F.array_distinct(hashes), lambda h: F.get(
+        classes, h.bitwiseAND(F.lit(FREQUENCY_SLOTS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << 57) - 1)))))
 
 
 def _table(classes: list[int]) -> Column:
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")
+    """The classes as a literal, moved above the 57 bits of a hash."""
+    return F.split(F.lit(",".join(str(c << 57) for c in classes)), ",").cast("array<bigint>")
 
 
 def _bitmap(odd: int) -> Column:
@@ -130,8 +129,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lead = _postings(open_all.withColumn("lead", F.slice("prefix", 1, LEAD_TOKENS)), "lead")
     w = W.partitionBy("token").orderBy("doc", "line", "k1")
     mate = F.struct("k1", "size", "at", "b0", "b1")
-    near = lead.select(mate.alias("x"), F.first(mate).over(w).alias("leader"), F.lag(mate).over(w).alias("before")).select(
-        "x", F.explode(F.array("leader", "before")).alias("y")).where("y IS NOT NULL AND x.k1 != y.k1")
+    mates = [F.first(mate).over(w).alias("y0")] + [F.lag(mate, k).over(w).alias(f"y{k}") for k in range(1, MATES)]
+    near = lead.select(mate.alias("x"), *mates).select(
+        "x", F.explode(F.array(*[f"y{k}" for k in range(MATES)])).alias("y")).where("y IS NOT NULL AND x.k1 != y.k1")
     found = _verified(near.where(_SIMILAR).select(F.col("x.k1").alias("x"), F.col("y.k1").alias("y")), firsts, docs, classes)
     found = settle(found, "lines-found")
     # Lines still open against all earlier ones. Both sides use the same columns, so that one
