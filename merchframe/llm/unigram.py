@@ -43,7 +43,8 @@ class Model:
 
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
             ids = range(sp.get_piece_size())
-            plain = [i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
+            plain = [i for i in ids if not (
+                sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
             cls._made[path] = cls(
                 {sp.id_to_piece(i): (i, sp.get_score(i)) for i in plain},
                 [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], sp.get_piece_size())
