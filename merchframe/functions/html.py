@@ -39,12 +39,14 @@ class _Elements(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.texts, self.nodes, self.open, self.pending = [], [], [], []
+        # How many elements of each name, and how many silent ones, are open.
+        self.depths, self.silent = {}, 0
 
     def flush_text(self):
         text = "".join(self.pending)
         self.pending = []
         inner = self.nodes[self.open[-1]] if self.open else None
-        if any(self.nodes[i][0] in SILENT for i in self.open):
+        if self.silent:
             if inner[0] == "script" and inner[1].get("type") == LINKED_DATA:
                 inner[5] = text
         elif text.strip():
@@ -53,17 +55,22 @@ class _Elements(HTMLParser):
     def close_from(self, depth):
         while len(self.open) > depth:
             node = self.nodes[self.open.pop()]
+            self.depths[node[0]] -= 1
+            self.silent -= node[0] in SILENT
             node[3], node[4] = len(self.texts), len(self.nodes) - 1
 
-    def close_open(self, names):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[depth]][0] in names:
-                return self.close_from(depth)
+    def close_open(self, name):
+        """Close the innermost open element of a name and all inside it, if there is one."""
+        if self.depths.get(name):
+            depth = len(self.open) - 1
+            while self.nodes[self.open[depth]][0] != name:
+                depth -= 1
+            self.close_from(depth)
 
     def handle_starttag(self, tag, attrs):
         self.flush_text()
         if tag in CLOSES_P:
-            self.close_open({"p"})
+            self.close_open("p")
         elif tag in SAME_KIND and self.open and self.nodes[self.open[-1]][0] == tag:
             self.close_from(len(self.open) - 1)
         found = {}
@@ -73,6 +80,8 @@ class _Elements(HTMLParser):
         self.nodes.append([tag, found, at, at, len(self.nodes), None])
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
+            self.depths[tag] = self.depths.get(tag, 0) + 1
+            self.silent += tag in SILENT
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -81,7 +90,7 @@ class _Elements(HTMLParser):
 
     def handle_endtag(self, tag):
         self.flush_text()
-        self.close_open({tag})
+        self.close_open(tag)
 
     def handle_data(self, data):
         self.pending.append(data)

@@ -21,7 +21,8 @@ def _children(node):
     kinds = node.get("@type", "")
     kinds = kinds if isinstance(kinds, list) else [kinds]
     if "itemlist" in [str(k).lower() for k in kinds]:
-        for entry in node.get("itemListElement") or []:
+        entries = node.get("itemListElement")
+        for entry in entries if isinstance(entries, list) else ():
             if isinstance(entry, dict):
                 yield entry.get("item") or entry
     for key in _NESTING:
@@ -36,10 +37,10 @@ def _is_product(node):
 
 
 def first_product(text):
-    """JSON text of the first product node, depth first, or None."""
+    """JSON text of the first product node, depth first, or None; also None for text nested too deep to read."""
     try:
         waiting = [json.loads(text)]
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, RecursionError):
         return None
     while waiting:
         node = waiting.pop()

@@ -1,16 +1,16 @@
 """Catalogue JSON: listing pages and product payloads to draft rows."""
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from merchframe.functions.text import col, first_text, or_blank, strip
 from merchframe.functions.urls import absolute_image_url
 from merchframe.functions.values import normalize_prices
 from merchframe.schema import (
-    DRAFT_COLUMNS, MAX_LISTING_PAGES, PLACEHOLDER_OPTION_NAME, PLACEHOLDER_OPTION_VALUES,
+    DRAFT_COLUMNS, PLACEHOLDER_OPTION_NAME, PLACEHOLDER_OPTION_VALUES,
 )
 
 # Bits of a draft row's position kept for its variant, and for blocks of 256 products.
-VARIANT_BITS = 20
+VARIANT_BITS = 21
 CRAWL_BLOCK_BITS = VARIANT_BITS + 8
 
 
@@ -84,21 +84,26 @@ def with_scalars(df: DataFrame, source: str, paths: dict[str, str]) -> DataFrame
         "_typed", "_texts", "_filled")
 
 
+def _repeated_keys_allowed(df: DataFrame) -> DataFrame:
+    """Sets the session to take JSON objects with repeated keys; the last value counts."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return df
+
+
 # --- listing pages ----------------------------------------------------------------------
 
 def listing_handles(listing: DataFrame) -> DataFrame:
     """(store_url, collection, page, idx, handle): listed handles in order.
 
-    Reading stops at a collection's first page without products and after page 200. A collection
-    has few pages, so the window is bounded by the page limit; the bodies explode after it.
+    Reading stops at a collection's first page without products. That page is one small row for
+    each collection, found with partial minima; the bodies explode in place.
     """
-    paged = listing.where(F.col("page").between(1, MAX_LISTING_PAGES)).select(
+    paged = _repeated_keys_allowed(listing).where("page >= 1").select(
         "store_url", "collection", "page",
         json_get(F.try_parse_json("body"), "$.products", "array<variant>").alias("products"))
     is_end = F.coalesce(F.size("products"), F.lit(0)) <= 0
-    seen = W.partitionBy("store_url", "collection").orderBy("page").rowsBetween(
-        W.unboundedPreceding, 0)
-    open_pages = paged.withColumn("_ended", F.max(is_end).over(seen)).where(~F.col("_ended"))
+    ends = paged.where(is_end).groupBy("store_url", "collection").agg(F.min("page").alias("_end"))
+    open_pages = paged.join(ends, ["store_url", "collection"], "left").where("_end IS NULL OR page < _end")
     handles = open_pages.select(
         "store_url", "collection", "page", F.posexplode("products").alias("idx", "p"))
     return handles.select(
@@ -326,9 +331,14 @@ def crawl_summary(joined: DataFrame) -> DataFrame:
 
 
 def drafts_to_feed(drafts: DataFrame) -> DataFrame:
-    """Drafts as `feed_rows`-like rows (feed_id, pos, cells), cells in draft column order."""
-    pos = F.shiftleft(F.col("page").cast("bigint") * 1000 + F.col("idx"), VARIANT_BITS) + F.col(
-        "variant_idx")
+    """Drafts as `feed_rows`-like rows (feed_id, pos, cells), cells in draft column order.
+
+    `pos` holds page, place on the page and variant in 21 bits each; a number beyond that ends the
+    job with a message, since positions would collide.
+    """
+    parts = [F.col(c).cast("bigint") for c in ("page", "idx", "variant_idx")]
+    pos = F.when(F.greatest(*parts) < 1 << VARIANT_BITS, F.shiftleft(parts[0], 2 * VARIANT_BITS) + F.shiftleft(
+        parts[1], VARIANT_BITS) + parts[2]).otherwise(F.raise_error(F.lit("position beyond 21 bits")).cast("bigint"))
     return drafts.select(
         F.concat_ws("/collections/", "store_url", "collection").alias("feed_id"),
         pos.alias("pos"),

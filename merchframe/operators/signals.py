@@ -16,7 +16,7 @@ from merchframe.functions.text import (
 )
 from merchframe.functions.urls import join_url, path
 from merchframe.schema import (
-    DESKTOP_FOLD, EMAIL_VENDOR_WORDS, FAR_DOWN, MAX_PRODUCT_LINKS, MOBILE_FOLD, TAP_TARGET,
+    DESKTOP_FOLD, EMAIL_VENDOR_WORDS, FAR_DOWN, MOBILE_FOLD, TAP_TARGET,
     TRUST_WORDS, URGENCY_WORDS,
 )
 
@@ -60,12 +60,13 @@ def robots_meta(page: Column) -> Column:
                       & (F.lower(attr(n, "name")) == "robots")), "content")
 
 
-def product_links(page: Column, url: Column) -> Column:
-    """First eight distinct absolute product links, in page order."""
+def product_links(page: Column, url: Column, limit: int | None = None) -> Column:
+    """Distinct absolute product links, in page order; at most `limit`, if given."""
     anchors = select(page, lambda n: (n["tag"] == "a") & has_attr(n, "href"))
     links = F.transform(anchors, lambda n: F.substring_index(join_url(url, attr(n, "href")), "#", 1))
     wanted = F.filter(links, lambda u: path(u).contains("/products/"))
-    return F.slice(F.array_distinct(wanted), 1, MAX_PRODUCT_LINKS)
+    links = F.array_distinct(wanted)
+    return links if limit is None else F.slice(links, 1, limit)
 
 
 # --- rendered homepage ------------------------------------------------------------------
@@ -254,9 +255,9 @@ def static_signals(pages: DataFrame, keep: list[str]) -> DataFrame:
         product_links(page, F.col("url")).alias("product_urls_hint"))
     return found.select(
         *keep, (F.col("title") != "").alias("has_meta_title"),
-        F.substring("title", 1, 120).alias("meta_title"),
+        F.col("title").alias("meta_title"),
         (F.col("description") != "").alias("has_meta_description"),
-        F.substring("description", 1, 160).alias("meta_description"),
+        F.col("description").alias("meta_description"),
         "has_email_capture_static",
         (F.col("trust_text_match") != "").alias("has_trust_text"), "trust_text_match",
         (F.col("canonical_href") != "").alias("has_canonical"), "canonical_href",
@@ -289,7 +290,7 @@ def product_columns(page: Column) -> list[Column]:
         above_fold(atc, DESKTOP_FOLD).alias("atc_above_fold"),
         product_image_count(page).alias("product_image_count"),
         price.isNotNull().alias("price_visible"),
-        F.substring(or_blank(text_of(page, price)), 1, 80).alias("price_text"),
+        or_blank(text_of(page, price)).alias("price_text"),
         has_reviews(page).alias("product_has_reviews"),
         has_urgency(visible_text(page)).alias("has_urgency"),
         has_cross_sell(page).alias("has_cross_sell"),

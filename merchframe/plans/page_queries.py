@@ -120,7 +120,7 @@ UNION ALL SELECT 'page-' || page_id, {pages_sql} FROM pages""")
 
 register_static("meta_title", ["has_meta_title", "meta_title"],
                 "c_custkey % 3 = 0 AS has_meta_title, CASE WHEN c_custkey % 3 = 0 THEN 'Shopnumber ' || c_custkey ELSE '' END AS meta_title",
-                f"{_TITLE} <> '', substr(trim({_TITLE}), 1, 120)")
+                f"{_TITLE} <> '', trim({_TITLE})")
 register_static("meta_description", ["has_meta_description", "meta_description"], """
   c_custkey % 4 = 0 OR c_custkey % 6 = 0 AS has_meta_description,
   CASE WHEN c_custkey % 4 = 0 THEN 'All we sell' WHEN c_custkey % 6 = 0 THEN 'Shared text' ELSE '' END AS meta_description""",
@@ -216,7 +216,7 @@ register_view("fold_and_tap", PRODUCT, f"""coalesce({_Y} < 800, false) AS deskto
 register_view("product_image_count", PRODUCT, f"{on(4, 2, 0)} AS n", n=signals.product_image_count)
 register_view("price_signal", PRODUCT, f"""c_custkey % 3 = 0 OR c_custkey % 9 = 0 AS visible,
   {on(3, "'7.50 GBP'", "''")} AS text""", visible=lambda p: signals.price_element(p).isNotNull(),
-              text=lambda p: F.substring(F.coalesce(signals.text_of(p, signals.price_element(p)), F.lit("")), 1, 80))
+              text=lambda p: F.coalesce(signals.text_of(p, signals.price_element(p)), F.lit("")))
 register_view("review_signal", PRODUCT, "c_custkey % 6 = 0 AND c_custkey % 12 <> 0 AS seen", seen=signals.has_reviews)
 register_view("merch_blocks", PRODUCT, """c_custkey % 8 = 0 AS cross_sell, c_custkey % 9 = 0 AS volume,
   c_custkey % 10 = 0 AS sticky""", cross_sell=signals.has_cross_sell, volume=signals.has_volume_pricing,

@@ -199,7 +199,7 @@ _LISTED = f"""o AS (SELECT *, {_NO} AS no, {_URL} AS store_url,
     CAST(o_orderkey % {I.ORDERS_PER_GROUP} // {I.PRODUCTS_PER_PAGE_SLOT} + 1 AS INTEGER) AS page FROM orders),
 listed AS (SELECT *, CAST(row_number() OVER (PARTITION BY store_url, page ORDER BY o_orderkey) - 1 AS INTEGER) AS idx,
     'p-' || o_orderkey AS handle FROM o
-  WHERE page <= 200 AND NOT (no % 3 = 0 AND page >= 150)),
+  WHERE NOT (no % 3 = 0 AND page >= 150)),
 handles AS (SELECT * FROM listed WHERE o_orderkey % 37 <> 0)"""
 register("scan_listing_json", lambda spark, sf: payloads.listing_handles(I.listing_pages(spark, sf)), f"""
 WITH {_LISTED} SELECT store_url, 'all' AS collection, page, idx, handle FROM handles""")
@@ -349,7 +349,7 @@ def drafts_to_feed(spark, sf):
 _CELLS = "[" + ", ".join(S.DRAFT_COLUMNS) + "]"
 register("drafts_to_feed", drafts_to_feed, f"""WITH {_MADE}
 SELECT store_url || '/collections/all' AS feed_id,
-  CAST(page * 1000 + idx AS BIGINT) * {2 ** payloads.VARIANT_BITS} + variant_idx AS pos,
+  (CAST(page AS BIGINT) * {2 ** payloads.VARIANT_BITS} + idx) * {2 ** payloads.VARIANT_BITS} + variant_idx AS pos,
   array_to_string({_CELLS}, '~') AS cells FROM drafts""")
 
 
@@ -371,6 +371,6 @@ f AS (SELECT *, last_value(nullif(title, '') IGNORE NULLS) OVER w AS t,
     OVER w END AS n2 FROM drafts
   WINDOW w AS (PARTITION BY store_url, page, idx ORDER BY variant_idx))
 SELECT store_url || '/collections/all' AS feed_id,
-  CAST(page * 1000 + idx AS BIGINT) * {2 ** payloads.VARIANT_BITS} + variant_idx AS pos,
+  (CAST(page AS BIGINT) * {2 ** payloads.VARIANT_BITS} + idx) * {2 ** payloads.VARIANT_BITS} + variant_idx AS pos,
   title, url_handle, n1 AS option1_name, option1_value, n2 AS option2_name, price, inventory_quantity,
   product_image_url, status FROM f""")

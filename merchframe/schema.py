@@ -64,28 +64,6 @@ PRODUCT_LEVEL = [
     "SEO description",
 ]
 
-# --- Fixed values: columns a continuation row takes from its source row -----------------
-CONTINUATION_FIELDS = [
-    "SKU",
-    "Barcode",
-    "Price",
-    "Compare-at price",
-    "Inventory quantity",
-    "Option1 value",
-    "Option2 value",
-    "Option3 value",
-    "Weight value (grams)",
-    "Requires shipping",
-    "Fulfillment service",
-    "Inventory tracker",
-    "Continue selling when out of stock",
-    "Charge tax",
-    "Status",
-    "Variant image URL",
-    "Cost per item",
-    "Tax code",
-    "Weight unit for display",
-]
 
 # --- Fixed values: defaults for blank cells ---------------------------------------------
 DEFAULTS = {
@@ -167,7 +145,6 @@ SUGGESTION_RULES = [
 
 # --- Fixed values: feed files, sheets, headers, previews --------------------------------
 DELIMITERS = [",", "\t", "|", ";"]
-SNIFF_CHARS = 8192
 FEED_SUFFIXES = {".csv": "csv", ".xlsx": "excel", ".xls": "excel"}
 HEADER_SCAN_ROWS = 10
 HEADER_MIN_SHARE = 0.5
@@ -187,7 +164,6 @@ PREVIEW_PRIORITY = [
 ]
 
 # --- Fixed values: listing pages and product payloads -----------------------------------
-MAX_LISTING_PAGES = 200
 DRAFT_COLUMNS = {
     "title": "Title",
     "url_handle": "URL handle",
@@ -232,7 +208,6 @@ URGENCY_WORDS = [
 ]
 EMAIL_VENDOR_WORDS = ["klaviyo", "mailchimp", "omnisend", "newsletter"]
 SKIPPED_IMAGE_WORDS = ["icon", "logo", "sprite", "1x1", "pixel"]
-MAX_PRODUCT_LINKS = 8
 DESKTOP_FOLD = 800
 MOBILE_FOLD = 844
 TAP_TARGET = 44

@@ -23,9 +23,14 @@ def local_session(cores: str = "*", **conf) -> SparkSession:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the session's spark.checkpoint.dir.
 
-    Only where that is unset, as in plain local runs, a temporary folder stands in.
+    Where that is unset, a temporary folder stands in for a local master; on a cluster, where
+    executors would not share it, this is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="merchframe-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="merchframe-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -2,11 +2,10 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from merchframe.functions.urls import suffix
-from merchframe.operators.ordered import first_in_order
-from merchframe.schema import DELIMITERS, FEED_SUFFIXES, SNIFF_CHARS
+from merchframe.schema import DELIMITERS, FEED_SUFFIXES
 
 BAD_SUFFIX = "Unsupported file type. Please use .csv, .xlsx, or .xls"
 _QUOTED = '"[^"]*"'
@@ -26,23 +25,15 @@ def _lines(spark: SparkSession, paths) -> DataFrame:
 
 
 def sniff_delimiter(spark: SparkSession, paths) -> DataFrame:
-    """(feed_id, delimiter) from the first 8,192 characters of every file.
+    """(feed_id, delimiter) from all lines of every file.
 
     The delimiter whose count per line is steadiest wins; ties go to the higher count, then to
-    the fixed order. Files without any candidate read as comma-separated. Only lines of a file's
-    first block count, and each partition passes on at most 8,192 of them.
+    the fixed order. Files without any candidate read as comma-separated. Counts are summed up
+    before the shuffle, so what moves is a row for each file, delimiter and count.
     """
-    head = first_in_order(
-        _lines(spark, paths).where("block = 0").withColumn("line", F.monotonically_increasing_id()),
-        ["feed_id"], "line", SNIFF_CHARS)
-    before = F.sum(F.length("value") + 1).over(
-        W.partitionBy("feed_id").orderBy("line").rowsBetween(W.unboundedPreceding, -1))
-    text = F.regexp_replace(F.substr("value", F.lit(1), F.lit(SNIFF_CHARS) - F.col("before")),
-                            _QUOTED, "")
-    sample = (head.withColumn("before", F.coalesce(before, F.lit(0)))
-              .where(F.col("before") < SNIFF_CHARS).select("feed_id", text.alias("text"))
-              .where("text <> ''"))
-    hits = sample.select("feed_id", F.posexplode(F.array(*[
+    texts = _lines(spark, paths).select(
+        "feed_id", F.regexp_replace("value", _QUOTED, "").alias("text")).where("text <> ''")
+    hits = texts.select("feed_id", F.posexplode(F.array(*[
         F.length("text") - F.length(F.replace("text", F.lit(d), F.lit(""))) for d in DELIMITERS
     ])).alias("rank", "hits"))
     lines = hits.groupBy("feed_id", "rank", "hits").agg(F.count(F.lit(1)).alias("lines"))

@@ -25,9 +25,9 @@ def write_product_csv(product_rows: DataFrame, folder: str, by_feed: bool = Fals
 def write_audit_json(documents: DataFrame, folder: str) -> None:
     """One JSON line per store, named by domain and day, in one folder per day.
 
-    A folder per store would leave a large run with one tiny file per store.
+    Documents without a readable date share the day "undated". A folder per store would leave a large run with one tiny file per store.
     """
-    day = F.date_format(F.to_timestamp("audit_date"), "yyyy-MM-dd")
+    day = F.coalesce(F.date_format(F.try_to_timestamp("audit_date"), "yyyy-MM-dd"), F.lit("undated"))
     documents.select(
         day.alias("day"), F.concat_ws("_", clean_domain("store_url"), day).alias("audit"),
         "document.*").write.mode("error").partitionBy("day").json(folder)
