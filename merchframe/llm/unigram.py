@@ -16,6 +16,7 @@ when the file was made for merges. Characters without a piece become byte pieces
 """
 
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,8 @@ from merchframe.llm.common import settle, ship_package
 #: Characters of a chunk, and matrices that one step of the scan combines.
 CHUNK, FAN = 16_384, 64
 BLANK = "▁"
-CACHE_WORDS = 500_000
+#: Words whose segmentation a worker keeps, and rows it returns at once.
+CACHE_WORDS, OUT_ROWS = 250_000, 250
 UNKNOWN_PENALTY = 10.0
 _NONE = -np.inf
 
@@ -59,6 +61,9 @@ class Model:
         self.word = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
         self.border = re.compile(f"(?<=[^{BLANK}]){BLANK}")
         self.known: dict = {}
+        # Every beginning of a piece; a beginning that is no piece itself has no id.
+        self.prefixes: dict = {p[:k]: None for p in pieces for k in range(1, len(p))}
+        self.prefixes.update(pieces)
         self.names = [None] * size
         for piece, (i, _) in pieces.items():
             self.names[i] = piece.encode("utf-8", "surrogatepass")
@@ -67,11 +72,13 @@ class Model:
 
     def edges(self, text: str, at: int):
         """(end, score, piece) of the pieces that start at a place; an unknown character is one edge."""
-        out = []
+        out, prefixes = [], self.prefixes
         for end in range(at + 1, min(at + self.longest, len(text)) + 1):
-            hit = self.pieces.get(text[at:end])
+            hit = prefixes.get(text[at:end], False)
             if hit:
                 out.append((end, hit[1], hit[0]))
+            elif hit is False:
+                break
         if not out or out[0][0] != at + 1:
             out.append((at + 1, self.unknown, -1))
         return out
@@ -95,7 +102,14 @@ class Model:
                     score[to - start], last[to - start] = s + gain, (at, piece)
         return score, last
 
-    def trace(self, text: str, start: int, limit: int, end: int) -> tuple[float, list]:
+    def before(self, text: str, end: int) -> list:
+        """Best scores from each place 0..end to `end`."""
+        score = [_NONE] * end + [0.0]
+        for at in range(end - 1, -1, -1):
+            score[at] = max((gain + score[to] for to, gain, _ in self.edges(text, at) if to <= end), default=_NONE)
+        return score
+
+    def trace(self, text: str, start: int, limit: int, end: int) -> tuple[float, bytes]:
         score, last = self.best(text, start, limit, end)
         steps, at = [], end
         while at > start:
@@ -103,25 +117,60 @@ class Model:
             steps.append((at, piece))
         steps.reverse()
         ends = [s[0] for s in steps[1:]] + [end]
-        return score[-1], [i for (a, p), e in zip(steps, ends) for i in self.ids_of(text, a, e, p)]
+        ids = [i for (a, p), e in zip(steps, ends) for i in self.ids_of(text, a, e, p)]
+        return score[-1], array("i", ids).tobytes()
 
-    def of_word(self, word: str) -> tuple[float, list]:
+    def of_word(self, word: str) -> tuple[float, bytes]:
         hit = self.known.get(word)
         if hit is None:
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
-            hit = self.trace(word, 0, len(word), len(word))
+            hit = self._segment(word)
             if len(word) <= 64:
                 self.known[word] = hit
         return hit
 
-    def whole(self, text: str) -> list:
-        if not self.cuts:
-            return self.trace(text, 0, len(text), len(text))[1]
-        out: list = []
+    def _segment(self, word: str) -> tuple[float, bytes]:
+        """Like trace() of the whole word, in one loop, since most of the time goes here."""
+        n, longest, prefixes = len(word), self.longest, self.prefixes
+        score, last = [_NONE] * (n + 1), [None] * (n + 1)
+        score[0] = 0.0
+        for at in range(n):
+            s, end, single = score[at], at + 1, False
+            while end <= n and end - at <= longest:
+                hit = prefixes.get(word[at:end], False)
+                if hit:
+                    if end == at + 1:
+                        single = True
+                    total = s + hit[1]
+                    if total > score[end]:
+                        score[end], last[end] = total, (at, hit[0])
+                elif hit is False:
+                    break
+                end += 1
+            if not single and s + self.unknown > score[at + 1]:
+                score[at + 1], last[at + 1] = s + self.unknown, (at, -1)
+        ids, end = [], n
+        while end:
+            at, piece = last[end]
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids += reversed(self.ids_of(word, at, end, piece))
+            end = at
+        ids.reverse()
+        return score[n], array("i", ids).tobytes()
+
+    def words(self, text: str) -> bytes:
+        known, out = self.known, []
         for word in self.word.findall(text):
-            out += self.of_word(word)[1]
-        return out
+            hit = known.get(word)
+            out.append((hit or self.of_word(word))[1])
+        return b"".join(out)
+
+    def whole(self, text: str) -> np.ndarray:
+        ids = self.words(text) if self.cuts else self.trace(text, 0, len(text), len(text))[1]
+        return np.frombuffer(ids, np.int32)
 
     def borders(self, text: str, size: int) -> tuple[int, int] | None:
         """First safe cut that every left state has passed, and last safe cut of a chunk."""
@@ -140,7 +189,7 @@ class Model:
         cut = self.borders(text, size)
         if cut:
             first, last = cut
-            into = np.array([self.best(text, j, first, first)[0][-1] for j in range(n)])
+            into = np.array(self.before(text, first)[:n])
             between = sum(self.of_word(w)[0] for w in self.word.findall(text[first:last]))
             out_of = self.best(text, last, size, size + right)[0][size - last:]
             out[:, :right + 1] = into[:, None] + between + np.array(out_of)
@@ -156,24 +205,28 @@ class Model:
         out[:, :right + 1] = score[size:size + right + 1].T
         return out
 
-    def chunk(self, text: str, size: int, left: int, right: int) -> list:
+    def chunk(self, text: str, size: int, left: int, right: int) -> np.ndarray:
         """Ids of the pieces that begin in a chunk, between known states."""
         if left >= size:
-            return []
+            return np.empty(0, np.int32)
         cut = self.borders(text, size)
         if not cut:
-            return self.trace(text, left, size, size + right)[1]
+            return np.frombuffer(self.trace(text, left, size, size + right)[1], np.int32)
         first, last = cut
-        out = self.trace(text, left, first, first)[1]
-        for word in self.word.findall(text[first:last]):
-            out += self.of_word(word)[1]
-        return out + self.trace(text, last, size, size + right)[1]
+        return np.frombuffer(self.trace(text, left, first, first)[1] + self.words(text[first:last])
+                             + self.trace(text, last, size, size + right)[1], np.int32)
 
     def decode(self, ids, first: bool) -> str:
-        text = b"".join(map(self.names.__getitem__, ids)).decode("utf-8", "replace").replace(BLANK, " ")
+        text = b"".join(map(self.names.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if first and text.startswith(" ") else text
 
 
+def _slices(pdf: pd.DataFrame):
+    """A batch in small parts, so that few rows of ids are held at once."""
+    for at in range(0, len(pdf), OUT_ROWS):
+        yield pdf.iloc[at:at + OUT_ROWS]
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """(max, +) product."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
@@ -238,7 +291,7 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
 
     def whole(batches):
         model = Model.get(model_path)
-        for pdf in batches:
+        for pdf in (x for batch in batches for x in _slices(batch)):
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "part": 0, "ids": [model.whole(t) for t in pdf["text"]]})
 
     def matrices(batches):
@@ -249,7 +302,7 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
 
     def traced(batches):
         model = Model.get(model_path)
-        for pdf in batches:
+        for pdf in (x for batch in batches for x in _slices(batch)):
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "part": pdf["part"], "ids": [
                 model.chunk(t + a, len(t), j, k) for t, a, j, k in zip(pdf["text"], pdf["after"], pdf["left"], pdf["right"])]})
 
@@ -280,8 +333,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches):
         model = Model.get(model_path)
-        for pdf in batches:
-            pdf["text"] = [model.decode(i, p == 0) for i, p in zip(pdf["ids"], pdf["part"])]
-            yield pdf
+        for pdf in (x for batch in batches for x in _slices(batch)):
+            yield pdf.assign(text=[model.decode(i, p == 0) for i, p in zip(pdf["ids"], pdf["part"])])
 
     return encoded.mapInPandas(run, "doc_id long, part long, ids array<int>, text string")
