@@ -64,6 +64,7 @@ class Model:
         # Every beginning of a piece; a beginning that is no piece itself has no id.
         self.prefixes: dict = {p[:k]: None for p in pieces for k in range(1, len(p))}
         self.prefixes.update(pieces)
+        self.pairs = {p[k:k + 2] for p in pieces for k in range(len(p) - 1)}
         self.names = [None] * size
         for piece, (i, _) in pieces.items():
             self.names[i] = piece.encode("utf-8", "surrogatepass")
@@ -125,7 +126,13 @@ class Model:
         if hit is None:
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
-            hit = self._segment(word)
+            # No piece spans a pair of characters that no piece holds, so parts between them stand alone.
+            cuts = [k for k in range(1, len(word)) if word[k - 1:k + 1] not in self.pairs]
+            if cuts:
+                parts = [self.of_word(word[a:b]) for a, b in zip([0, *cuts], [*cuts, len(word)])]
+                hit = sum(p[0] for p in parts), b"".join(p[1] for p in parts)
+            else:
+                hit = self._segment(word)
             if len(word) <= 64:
                 self.known[word] = hit
         return hit
