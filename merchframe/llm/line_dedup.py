@@ -3,15 +3,15 @@
 A line's tokens are its distinct lower-cased words, ordered by rarity. A line goes if an earlier
 line (smaller doc_id, then smaller line number) has Jaccard similarity 0.8 or more.
 
-1. Token counts over all lines give the classes of the most frequent tokens; other tokens count as
-   rare. Any fixed order keeps the join exact; a good one keeps prefixes rare.
+1. Token counts over all lines, by slots of a hash, give classes of frequency. Any fixed order keeps
+   the join exact; a good one keeps prefixes rare.
 2. Lines with equal token sets collapse to their first occurrence, aggregated before the shuffle.
 3. Prefix filter: similar lines share one of the first floor(n / 5) + 1 tokens. Candidates must also
    pass the length filter, the positional filter and a parity bitmap, which bounds the symmetric
    difference of two sets from below.
-4. Each line is first held against the first and the four preceding lines on its three rarest tokens.
-   This settles members of large groups with five candidates a token instead of all pairs. Lines
-   still open are joined with all earlier lines on all prefix tokens.
+4. Each line first meets the first and the four preceding lines on each of its prefix tokens, and the
+   closest of them is verified. This settles members of large groups with one candidate a line
+   instead of all pairs. Lines still open are joined with all earlier lines on all prefix tokens.
 5. Candidates are verified on their whole token sets.
 """
 
@@ -21,13 +21,13 @@ from merchframe.llm.common import settle, small_side
 
 #: Lines of fewer distinct words are structure (headings, bullets) and always stay.
 MIN_TOKENS = 5
-#: Tokens whose frequency class is kept, and slots of the table that keeps them: bounds on its size.
-FREQUENT_TOKENS, FREQUENCY_SLOTS = 32_768, 65_536
-#: Rarest tokens of a line on which it meets other lines first, and how many on each: the first line
-#: and those just before it. Lines that find none there meet all others.
-LEAD_TOKENS, MATES = 3, 5
+#: Slots of the table of token frequencies: a bound on its size.
+FREQUENCY_SLOTS = 65_536
+#: Lines that a line meets on each of its prefix tokens: the first one and those just before it.
+MATES = 5
+#: A token with this share of all tokens is dealt over SALTS tasks when lines meet.
+HOT_SHARE, SALTS = 1 / 1024, 64
 
-_COUNT_SLOTS = 1 << 22
 _NO_DOC = -(2**63)
 
 
@@ -45,18 +45,22 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _frequency_classes(docs: DataFrame) -> list[int]:
-    """For each slot, 0 or 1 plus the base-2 logarithm of its most frequent token's count."""
+    """For each slot of the token hashes, 1 plus the base-2 logarithm of the number of its tokens."""
     words = docs.select(F.explode(F.split(F.replace(_clean("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = (words.where("w != ''").select((F.xxhash64("w").bitwiseAND(F.lit(_COUNT_SLOTS - 1))).alias("slot"))
-              .groupBy("slot").count())
+    slot = F.xxhash64("w").bitwiseAND(F.lit(FREQUENCY_SLOTS - 1)).alias("slot")
     classes = [0] * FREQUENCY_SLOTS
-    # At most FREQUENT_TOKENS rows reach the driver.
-    for slot, n in counts.orderBy(F.desc("count"), "slot").limit(FREQUENT_TOKENS).collect():
-        at = slot % FREQUENCY_SLOTS
-        classes[at] = max(classes[at], n.bit_length())
+    # At most FREQUENCY_SLOTS rows reach the driver.
+    for at, n in words.where("w != ''").select(slot).groupBy("slot").count().collect():
+        classes[at] = n.bit_length()
     return classes
 
 
+def _hot_class(classes: list[int]) -> int:
+    """Class from which a slot holds HOT_SHARE of all tokens, or nearly so."""
+    total = sum(1 << c >> 1 for c in classes)
+    return max(1, int(total * HOT_SHARE).bit_length())
+
+
 def _tokens(line: Column, classes: Column) -> Column:
     """Distinct tokens as numbers that sort by rarity: frequency class above 57 bits of a hash."""
     hashes = F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
@@ -74,14 +78,21 @@ def _bitmap(odd: int) -> Column:
 
 
 def _occurrences(docs: DataFrame, classes: list[int]) -> DataFrame:
-    """Every compared line: position, 128-bit key of its token set, size, prefix and bitmaps."""
+    """Every compared line: position, 128-bit key of its token set, size, prefix and bitmaps.
+
+    A hot token is negative in the prefix.
+    """
     lines = _keys(docs).select("doc", "version", F.posexplode(F.split(_clean("text"), "\n")).alias("line", "words"))
     sets = lines.select("doc", "version", "line", _tokens("words", _table(classes)).alias("tokens")).withColumn(
         "size", F.size("tokens")).where(F.col("size") >= MIN_TOKENS)
+    low, hot = F.lit(2**31 - 1), F.lit(_hot_class(classes) << 57)
+
+    def short(t):
+        return F.when(t < hot, t.bitwiseAND(low)).otherwise(-1 - t.bitwiseAND(low)).cast("int")
+
     return sets.select(
         "doc", "version", "line", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"), "size",
-        F.transform(F.slice("tokens", 1, F.floor(F.col("size") / 5).cast("int") + 1),
-                    lambda t: t.bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("prefix"),
+        F.transform(F.slice("tokens", 1, F.floor(F.col("size") / 5).cast("int") + 1), short).alias("prefix"),
         _bitmap(0).alias("b0"), _bitmap(1).alias("b1"))
 
 
@@ -89,14 +100,33 @@ def _postings(firsts: DataFrame, tokens: str) -> DataFrame:
     return firsts.select("k1", "doc", "line", "limit", "size", "b0", "b1", F.posexplode(tokens).alias("at", "token"))
 
 
-_SIMILAR = """5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)
+#: Least symmetric difference of x and y by their bitmaps.
+_APART = "(bit_count(x.b0 ^ y.b0) + bit_count(x.b1 ^ y.b1))"
+_SIMILAR = f"""5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)
     AND 9 * (1 + least(x.size - x.at - 1, y.size - y.at - 1)) >= 4 * (x.size + y.size)
-    AND 9 * (bit_count(x.b0 ^ y.b0) + bit_count(x.b1 ^ y.b1)) <= x.size + y.size"""
+    AND 9 * {_APART} <= x.size + y.size"""
+
+
+def _closest(firsts: DataFrame) -> DataFrame:
+    """Pairs (x, y): for each line the closest of the lines that it meets on its prefix tokens, if any."""
+    salt = F.when(F.col("token") < 0, F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(F.lit(0))
+    posts = _postings(firsts.withColumn("limit", F.col("doc")), "prefix").withColumn("salt", salt)
+    w = W.partitionBy("token", "salt").orderBy("doc", "line", "k1")
+    x = F.struct("k1", "size", "at", "b0", "b1")
+    met = posts.select(x.alias("x"), F.first(x).over(w).alias("y0"),
+                       *[F.lag(x, k).over(w).alias(f"y{k}") for k in range(1, MATES)])
+
+    def candidate(y):
+        ok, apart = (e.replace("y.", y + ".") for e in (_SIMILAR, _APART))
+        return F.expr(f"CASE WHEN {y}.k1 != x.k1 AND {ok} THEN struct({apart} AS apart, {y}.k1 AS k1) END")
+
+    met = met.select(F.col("x.k1").alias("x"), F.least(*[candidate(f"y{k}") for k in range(MATES)]).alias("y"))
+    return met.where("y IS NOT NULL").groupBy("x").agg(F.min("y").alias("y")).select("x", F.col("y.k1").alias("y"))
 
 
 def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, classes: list[int]) -> DataFrame:
     """Keys of lines x that have an earlier line y among the pairs (x, y) with similarity 0.8."""
-    pairs = settle(pairs.distinct(), "line-pairs")
+    pairs = settle(pairs, "line-pairs")
     wanted = pairs.select(F.col("x").alias("k1")).union(pairs.select("y")).distinct()
     places = settle(firsts.join(wanted, "k1").select("k1", "k2", "doc", "version", "line"), "line-places")
     lines = _keys(docs).join(small_side(places), ["doc", "version"]).select(
@@ -122,18 +152,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     classes = _frequency_classes(docs)
     seen = settle(_occurrences(docs, classes), "line-sets")
     firsts = settle(
-        seen.groupBy("k1", "k2").agg(F.min(F.struct("doc", "version", "line", "size", "prefix", "b0", "b1")).alias("f"))
-        .select("k1", "k2", "f.*"), "line-firsts")
-    open_all = firsts.withColumn("limit", F.col("doc"))
-    # First against the leading and the preceding line on the rarest tokens.
-    lead = _postings(open_all.withColumn("lead", F.slice("prefix", 1, LEAD_TOKENS)), "lead")
-    w = W.partitionBy("token").orderBy("doc", "line", "k1")
-    mate = F.struct("k1", "size", "at", "b0", "b1")
-    mates = [F.first(mate).over(w).alias("y0")] + [F.lag(mate, k).over(w).alias(f"y{k}") for k in range(1, MATES)]
-    near = lead.select(mate.alias("x"), *mates).select(
-        "x", F.explode(F.array(*[f"y{k}" for k in range(MATES)])).alias("y")).where("y IS NOT NULL AND x.k1 != y.k1")
-    found = _verified(near.where(_SIMILAR).select(F.col("x.k1").alias("x"), F.col("y.k1").alias("y")), firsts, docs, classes)
-    found = settle(found, "lines-found")
+        seen.groupBy("k1", "k2").agg(F.min(F.struct("doc", "version", "line", "size", "prefix", "b0", "b1")).alias("f"),
+                                     F.count(F.lit(1)).alias("n")).select("k1", "k2", "n", "f.*"), "line-firsts")
+    found = settle(_verified(_closest(firsts), firsts, docs, classes), "lines-found")
     # Lines still open against all earlier ones. Both sides use the same columns, so that one
     # exchange of the postings serves both; a line found already has a limit below every doc.
     marked = firsts.join(found.select(F.col("x").alias("k1"), F.col("x2").alias("k2"), F.lit(True).alias("done")),
@@ -142,10 +163,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     posts = _postings(marked, "prefix").drop("line")
     pairs = posts.alias("x").join(posts.alias("y"), F.expr(
         f"x.token = y.token AND x.limit >= y.doc AND x.doc >= y.limit AND x.k1 != y.k1 AND {_SIMILAR}")).select(
-        F.col("x.k1").alias("x"), F.col("y.k1").alias("y"))
+        F.col("x.k1").alias("x"), F.col("y.k1").alias("y")).distinct()
     rest = _verified(pairs, firsts, docs, classes)
     similar = found.union(rest).select(F.col("x").alias("k1"), F.col("x2").alias("k2"), F.lit(True).alias("similar")).distinct()
-    first = firsts.select("k1", "k2", F.struct("doc", "version", "line").alias("first")).join(similar, ["k1", "k2"], "left")
+    first = firsts.join(similar, ["k1", "k2"], "left").where("similar OR n > 1").select(
+        "k1", "k2", "similar", F.struct("doc", "version", "line").alias("first"))
     gone = seen.select("k1", "k2", "doc", "version", "line").join(first, ["k1", "k2"]).where(
         F.col("similar") | (F.col("first") != F.struct("doc", "version", "line")))
     return gone.groupBy("doc", "version").agg(F.sort_array(F.collect_set("line")).alias("lines"))
