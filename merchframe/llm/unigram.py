@@ -9,7 +9,9 @@ chunk traces its own pieces back, independently.
 
 In a vocabulary whose pieces hold the blank mark in front only, no piece crosses from a letter to a
 blank: words separate, a chunk's matrix has rank one between its first and last word border, and word
-segmentations are kept in a cache. Where a chunk has no such border the full matrix is computed.
+segmentations are kept in a cache. If no piece mixes letters with other signs, words are cut there too.
+The new words of a batch are segmented together, all of one length as one array. Where a chunk has no
+such border the full matrix is computed.
 
 The model file gives pieces and scores; they are read as a unigram model (highest total score), also
 when the file was made for merges. Characters without a piece become byte pieces.
@@ -28,7 +30,9 @@ from merchframe.llm.common import settle, ship_package
 CHUNK, FAN = 16_384, 64
 BLANK = "▁"
 #: Words whose segmentation a worker keeps, and rows it returns at once.
-CACHE_WORDS, OUT_ROWS = 250_000, 250
+CACHE_WORDS, OUT_ROWS = 500_000, 500
+#: Longest word that is kept in the cache and segmented with others of its length.
+WORD = 64
 UNKNOWN_PENALTY = 10.0
 _NONE = -np.inf
 
@@ -58,19 +62,44 @@ class Model:
         self.unknown = min(s for _, s in pieces.values()) - UNKNOWN_PENALTY
         # A cut in front of a blank that follows another character is safe if no piece spans it.
         self.cuts = not any(BLANK in p.lstrip(BLANK) for p in pieces)
+        self.pairs = {p[k:k + 2] for p in pieces for k in range(len(p) - 1)}
         self.word = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+        # Signs such as raised digits that count as word characters without being letters.
+        odd = "".join(c for c in sorted(set("".join(self.pairs))) if c.isalnum() and not c.isdecimal() and not c.isalpha())
+        letter = re.compile(rf"[^\W\d_{odd}]")
+        if not any(BLANK not in p and bool(letter.match(p[0])) != bool(letter.match(p[1])) for p in self.pairs):
+            self.word = re.compile(rf"{BLANK}*[^\W\d_{odd}]+|{BLANK}*(?:[\d_{odd}]|[^\w{BLANK}])+|{BLANK}+")
         self.border = re.compile(f"(?<=[^{BLANK}]){BLANK}")
         self.known: dict = {}
         # Every beginning of a piece; a beginning that is no piece itself has no id.
         self.prefixes: dict = {p[:k]: None for p in pieces for k in range(1, len(p))}
         self.prefixes.update(pieces)
-        self.pairs = {p[k:k + 2] for p in pieces for k in range(len(p) - 1)}
+        self._number_prefixes()
         self.names = [None] * size
         for piece, (i, _) in pieces.items():
             self.names[i] = piece.encode("utf-8", "surrogatepass")
         for b, i in enumerate(byte_ids):
             self.names[i] = bytes([b])
 
+    def _number_prefixes(self) -> None:
+        """Arrays for many words at once: sign numbers, steps between prefixes, and the score and id of
+        each prefix. Number 1 is the empty prefix."""
+        order = sorted(self.prefixes)
+        number = {"": 1} | {p: k for k, p in enumerate(order, 2)}
+        signs = sorted({p[-1] for p in order})
+        # Signs without a piece of their own stay 0: their words are segmented alone.
+        self.sign = np.zeros(0x110000, np.uint16)
+        self.sign[[ord(c) for c in signs]] = np.arange(1, len(signs) + 1)
+        # A step from a prefix by a sign, as one sorted number, and where it leads.
+        self.width = len(signs) + 1
+        steps = np.array([number[p[:-1]] * self.width + int(self.sign[ord(p[-1])]) for p in order], np.int64)
+        by_step = np.argsort(steps)
+        self.steps, self.leads = steps[by_step], np.arange(2, len(order) + 2)[by_step]
+        self.sign[[ord(c) for c in signs if not self.prefixes.get(c)]] = 0
+        hits = [None, None, *map(self.prefixes.get, order)]
+        self.gain = np.array([h[1] if h else _NONE for h in hits])
+        self.piece = np.array([h[0] if h else -1 for h in hits], np.int32)
+
     def edges(self, text: str, at: int):
         """(end, score, piece) of the pieces that start at a place; an unknown character is one edge."""
         out, prefixes = [], self.prefixes
@@ -133,10 +162,54 @@ class Model:
                 hit = sum(p[0] for p in parts), b"".join(p[1] for p in parts)
             else:
                 hit = self._segment(word)
-            if len(word) <= 64:
+            if len(word) <= WORD:
                 self.known[word] = hit
         return hit
 
+    def learn(self, words: set) -> None:
+        """Put the segmentations of new words into the cache; `words` may be larger than the cache."""
+        lengths: dict = {}
+        for word in words:
+            if 1 < len(word) <= WORD:
+                lengths.setdefault(len(word), []).append(word)
+        for n, group in lengths.items():
+            codes = np.array(group, f"<U{n}").view(np.uint32).reshape(-1, n)
+            signs = self.sign[codes]
+            plain = np.flatnonzero(signs.all(axis=1))
+            score, ids, counts = self._segment_equal(signs[plain])
+            flat, ends = ids.tobytes(), 4 * n * np.arange(1, len(plain) + 1)
+            for k, s, a, b in zip(plain.tolist(), score.tolist(), (ends - 4 * counts).tolist(), ends.tolist()):
+                self.known[group[k]] = s, flat[a:b]
+
+    def _segment_equal(self, signs: np.ndarray):
+        """_segment() of words of one length and known signs: scores, ids at the right end, their counts."""
+        m, n = signs.shape
+        score, last = np.full((n + 1, m), _NONE), np.zeros((n + 1, m), np.int32)
+        piece = np.full((n + 1, m), -1, np.int32)
+        score[0] = 0.0
+        for at in range(n):
+            rows, state = np.arange(m), np.ones(m, np.int64)
+            for end in range(at + 1, min(at + self.longest, n) + 1):
+                step = state * self.width + signs[rows, end - 1]
+                found = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+                on = self.steps[found] == step
+                rows, state = rows[on], self.leads[found[on]]
+                if not len(rows):
+                    break
+                total = score[at, rows] + self.gain[state]
+                up = total > score[end, rows]
+                to = rows[up]
+                score[end, to], last[end, to], piece[end, to] = total[up], at, self.piece[state[up]]
+        ids, counts, rows = np.zeros((m, n), np.int32), np.zeros(m, np.int64), np.arange(m)
+        at = np.full(m, n)
+        while len(rows):
+            counts[rows] += 1
+            ids[rows, n - counts[rows]] = piece[at, rows]
+            at = last[at, rows]
+            on = at > 0
+            rows, at = rows[on], at[on]
+        return score[n], ids, counts
+
     def _segment(self, word: str) -> tuple[float, bytes]:
         """Like trace() of the whole word, in one loop, since most of the time goes here."""
         n, longest, prefixes = len(word), self.longest, self.prefixes
@@ -168,16 +241,23 @@ class Model:
         ids.reverse()
         return score[n], array("i", ids).tobytes()
 
-    def words(self, text: str) -> bytes:
-        known, out = self.known, []
-        for word in self.word.findall(text):
-            hit = known.get(word)
-            out.append((hit or self.of_word(word))[1])
-        return b"".join(out)
+    def words(self, texts: list[str]) -> list[bytes]:
+        found = [self.word.findall(text) for text in texts]
+        new = set().union(*found).difference(self.known)
+        if new:
+            if len(self.known) >= CACHE_WORDS:
+                self.known.clear()
+                new = set().union(*found)
+            self.learn(new)
+        known, of_word = self.known, self.of_word
+        return [b"".join([(known.get(word) or of_word(word))[1] for word in words]) for words in found]
 
     def whole(self, text: str) -> np.ndarray:
-        ids = self.words(text) if self.cuts else self.trace(text, 0, len(text), len(text))[1]
-        return np.frombuffer(ids, np.int32)
+        return self.wholes([text])[0]
+
+    def wholes(self, texts: list[str]) -> list[np.ndarray]:
+        ids = self.words(texts) if self.cuts else [self.trace(t, 0, len(t), len(t))[1] for t in texts]
+        return [np.frombuffer(i, np.int32) for i in ids]
 
     def borders(self, text: str, size: int) -> tuple[int, int] | None:
         """First safe cut that every left state has passed, and last safe cut of a chunk."""
@@ -220,7 +300,7 @@ class Model:
         if not cut:
             return np.frombuffer(self.trace(text, left, size, size + right)[1], np.int32)
         first, last = cut
-        return np.frombuffer(self.trace(text, left, first, first)[1] + self.words(text[first:last])
+        return np.frombuffer(self.trace(text, left, first, first)[1] + self.words([text[first:last]])[0]
                              + self.trace(text, last, size, size + right)[1], np.int32)
 
     def decode(self, ids, first: bool) -> str:
@@ -299,7 +379,7 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
     def whole(batches):
         model = Model.get(model_path)
         for pdf in (x for batch in batches for x in _slices(batch)):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "part": 0, "ids": [model.whole(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "part": 0, "ids": model.wholes(list(pdf["text"]))})
 
     def matrices(batches):
         model = Model.get(model_path)

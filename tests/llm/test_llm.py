@@ -219,6 +219,21 @@ def test_unigram(spark, docs, empty):
     assert unigram.encode(empty, path).count() == 0
 
 
+def test_words_together_and_alone():
+    import public_tokenizers
+
+    model = unigram.Model.get(public_tokenizers.path("piece_bpe_32k.model"))
+    words = ["▁the", "abcabc", "▁²½", "x_5", "\n\n▁", "日本語", "é\U0001F600", "aa" * 30, "b" * 200, "▁", "", "\ud800"]
+    words += [text(k, 1) for k in range(300)]
+    model.known.clear()
+    model.learn(set(words))
+    assert len(model.known) > 200
+    assert all(model.known[w] == model._segment(w) for w in model.known)
+    odd = ["▁".join(words), "", "▁", "".join(words) * 3]
+    for t, ids in zip(odd, model.wholes(odd)):
+        assert list(ids) == list(np.frombuffer(model.trace(t, 0, len(t), len(t))[1], np.int32))
+
+
 def test_toxicity(spark):
     r = np.random.RandomState(2)
     made = [(k, text(k, 40) + (" you idiot " if k % 4 == 0 else " you "), int(k % 4 == 0)) for k in range(400)]
