@@ -22,6 +22,7 @@ from array import array
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from merchframe.llm.common import settle, ship_package
@@ -33,6 +34,8 @@ BLANK = "▁"
 CACHE_WORDS, OUT_ROWS = 500_000, 500
 #: Longest word that is kept in the cache and segmented with others of its length.
 WORD = 64
+#: Fewer new words of a length are segmented one by one, which is then faster.
+TOGETHER = 16
 UNKNOWN_PENALTY = 10.0
 _NONE = -np.inf
 
@@ -173,6 +176,10 @@ class Model:
             if 1 < len(word) <= WORD:
                 lengths.setdefault(len(word), []).append(word)
         for n, group in lengths.items():
+            if len(group) < TOGETHER:
+                for word in group:
+                    self.of_word(word)
+                continue
             codes = np.array(group, f"<U{n}").view(np.uint32).reshape(-1, n)
             signs = self.sign[codes]
             plain = np.flatnonzero(signs.all(axis=1))
@@ -241,7 +248,8 @@ class Model:
         ids.reverse()
         return score[n], array("i", ids).tobytes()
 
-    def words(self, texts: list[str]) -> list[bytes]:
+    def split(self, texts: list[str]) -> list[list[str]]:
+        """The words of texts; new ones are put into the cache."""
         found = [self.word.findall(text) for text in texts]
         new = set().union(*found).difference(self.known)
         if new:
@@ -249,15 +257,21 @@ class Model:
                 self.known.clear()
                 new = set().union(*found)
             self.learn(new)
+        return found
+
+    def words(self, text: str) -> bytes:
         known, of_word = self.known, self.of_word
-        return [b"".join([(known.get(word) or of_word(word))[1] for word in words]) for words in found]
+        return b"".join([(known.get(word) or of_word(word))[1] for word in self.word.findall(text)])
 
     def whole(self, text: str) -> np.ndarray:
-        return self.wholes([text])[0]
+        return np.frombuffer(self.wholes([text])[0], np.int32)
 
-    def wholes(self, texts: list[str]) -> list[np.ndarray]:
-        ids = self.words(texts) if self.cuts else [self.trace(t, 0, len(t), len(t))[1] for t in texts]
-        return [np.frombuffer(i, np.int32) for i in ids]
+    def wholes(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, as 32-bit numbers."""
+        if not self.cuts:
+            return [self.trace(t, 0, len(t), len(t))[1] for t in texts]
+        found, known, of_word = self.split(texts), self.known, self.of_word
+        return [b"".join([(known.get(word) or of_word(word))[1] for word in words]) for words in found]
 
     def borders(self, text: str, size: int) -> tuple[int, int] | None:
         """First safe cut that every left state has passed, and last safe cut of a chunk."""
@@ -292,26 +306,32 @@ class Model:
         out[:, :right + 1] = score[size:size + right + 1].T
         return out
 
-    def chunk(self, text: str, size: int, left: int, right: int) -> np.ndarray:
+    def chunk(self, text: str, size: int, left: int, right: int) -> bytes:
         """Ids of the pieces that begin in a chunk, between known states."""
         if left >= size:
-            return np.empty(0, np.int32)
+            return b""
         cut = self.borders(text, size)
         if not cut:
-            return np.frombuffer(self.trace(text, left, size, size + right)[1], np.int32)
+            return self.trace(text, left, size, size + right)[1]
         first, last = cut
-        return np.frombuffer(self.trace(text, left, first, first)[1] + self.words([text[first:last]])[0]
-                             + self.trace(text, last, size, size + right)[1], np.int32)
+        return (self.trace(text, left, first, first)[1] + self.words(text[first:last])
+                + self.trace(text, last, size, size + right)[1])
 
-    def decode(self, ids, first: bool) -> str:
-        text = b"".join(map(self.names.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace").replace(BLANK, " ")
+    def decode(self, ids: list, first: bool) -> str:
+        text = b"".join(map(self.names.__getitem__, ids)).decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if first and text.startswith(" ") else text
 
 
-def _slices(pdf: pd.DataFrame):
-    """A batch in small parts, so that few rows of ids are held at once."""
-    for at in range(0, len(pdf), OUT_ROWS):
-        yield pdf.iloc[at:at + OUT_ROWS]
+def _slices(batches):
+    """Batches in small parts, so that few rows of ids are held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, OUT_ROWS):
+            yield batch.slice(at, OUT_ROWS)
+
+
+def _id_lists(ids: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -373,28 +393,37 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
     if chunk < 2 * n:
         raise ValueError(f"chunks need {2 * n} characters at least")
     shown = F.concat(F.lit(BLANK), F.replace("text", F.lit(" "), F.lit(BLANK)))
-    marked = docs.select("doc_id", F.when(F.octet_length("text") > 0, shown).otherwise(F.lit("")).alias("text"))
+    marked = docs.select(F.col("doc_id").cast("long"), F.when(F.octet_length("text") > 0, shown).otherwise(F.lit("")).alias("text"))
     small = F.length("text") <= chunk
 
+    names = ["doc_id", "part", "ids"]
+
     def whole(batches):
         model = Model.get(model_path)
-        for pdf in (x for batch in batches for x in _slices(batch)):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "part": 0, "ids": model.wholes(list(pdf["text"]))})
+        for x in _slices(batches):
+            ids = _id_lists(model.wholes(x.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(np.zeros(len(ids), np.int64)), ids], names)
 
     def matrices(batches):
         model = Model.get(model_path)
         for pdf in batches:
+            if model.cuts:
+                for at in range(0, len(pdf), OUT_ROWS):
+                    model.split(list(pdf["text"][at:at + OUT_ROWS]))
             pdf["matrix"] = [model.transfer(t + a, len(t)).tobytes() for t, a in zip(pdf.pop("text"), pdf.pop("after"))]
             yield pdf
 
     def traced(batches):
         model = Model.get(model_path)
-        for pdf in (x for batch in batches for x in _slices(batch)):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "part": pdf["part"], "ids": [
-                model.chunk(t + a, len(t), j, k) for t, a, j, k in zip(pdf["text"], pdf["after"], pdf["left"], pdf["right"])]})
+        for x in _slices(batches):
+            text, after, left, right = (x.column(c).to_pylist() for c in ("text", "after", "left", "right"))
+            if model.cuts:
+                model.split(text)
+            ids = _id_lists([model.chunk(t + a, len(t), j, k) for t, a, j, k in zip(text, after, left, right)])
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("part"), ids], names)
 
     ids = "doc_id long, part long, ids array<int>"
-    short = marked.where(small).mapInPandas(whole, ids)
+    short = marked.where(small).mapInArrow(whole, ids)
     pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
     chunks = marked.where(~small).select("doc_id", F.monotonically_increasing_id().alias("row"), pieces.alias("chunks"))
     chunks = settle(chunks.select("doc_id", "row", "chunks", F.posexplode("chunks").alias("part", "text")).select(
@@ -407,7 +436,7 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
     while most is not None and most >= reach:
         levels, reach = levels + 1, reach * FAN
     states = _scan(parts, None, n, levels)
-    long = chunks.join(states, ["row", "part"]).mapInPandas(traced, ids)
+    long = chunks.join(states, ["row", "part"]).mapInArrow(traced, ids)
     return short.union(long)
 
 
@@ -420,7 +449,10 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches):
         model = Model.get(model_path)
-        for pdf in (x for batch in batches for x in _slices(batch)):
-            yield pdf.assign(text=[model.decode(i, p == 0) for i, p in zip(pdf["ids"], pdf["part"])])
+        for x in _slices(batches):
+            ids, part = x.column("ids").to_pylist(), x.column("part").to_pylist()
+            text = pa.array([model.decode(i, p == 0) for i, p in zip(ids, part)], pa.string())
+            yield pa.RecordBatch.from_arrays([*map(x.column, ("doc_id", "part", "ids")), text], ["doc_id", "part", "ids", "text"])
 
-    return encoded.mapInPandas(run, "doc_id long, part long, ids array<int>, text string")
+    ids = encoded.select("doc_id", "part", "ids")
+    return ids.mapInArrow(run, "doc_id long, part long, ids array<int>, text string")
