@@ -10,6 +10,8 @@ from merchframe.llm import line_dedup, packing, pii, setsketch, toxicity
 from merchframe.llm.common import read
 from merchframe.session import settle
 
+#: Documents of this similarity of shingles, in hundredths, are near-duplicates.
+NEAR = 80
 #: SQL can't express these stages; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
@@ -26,7 +28,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return setsketch.drop_near_duplicates(docs)
+    return setsketch.drop_near_duplicates(docs, NEAR)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

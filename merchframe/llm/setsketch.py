@@ -6,9 +6,9 @@ a register about as often as their Jaccard similarity (locality-sensitive). Step
 
 1. every text becomes its set of 5-word shingles, 216 registers and a 128-bit set key;
 2. rows with equal sets form one class; only the smallest doc_id of a class goes on;
-3. 36 bands of 6 registers link each class to the smallest class of its bucket; the connected
-   components of these links are candidate clusters (a pair at similarity 0.85 misses every band
-   with probability 4e-8);
+3. bands of registers link each class to the smallest class of its bucket; the connected
+   components of these links are candidate clusters (a pair at the threshold misses every band
+   with probability 4e-8: 36 bands of 6 registers at 0.85, 43 of 5 at 0.80);
 4. clusters are cut into blocks of bounded size. Pairs of blocks are compared by the joint
    likelihood of similarity given both registers and both set sizes; what may reach the threshold
    is verified on the full sets. A pair of blocks returns a spanning forest, never all its pairs;
@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 from merchframe.llm.common import components, settle, ship_package, small_side
 
 SHINGLE_WORDS = 5
-BANDS, BAND_REGISTERS = 36, 6
-REGISTERS = BANDS * BAND_REGISTERS
+REGISTERS = 216
+#: Largest probability with which a pair at the threshold may miss every band.
+MISS = 5e-8
 #: SetSketch parameters: base, rate and largest register value minus one.
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
-#: Link where 100 * intersection >= THRESHOLD * union.
+#: Link where 100 * intersection >= THRESHOLD * union, unless a caller passes another value.
 THRESHOLD = 85
 #: Standard deviations of the estimate by which a candidate may miss the threshold.
 MARGIN = 5.0
@@ -132,6 +133,15 @@ def _set_rows(batches):
         yield pdf
 
 
+def banding(threshold: int) -> tuple[int, int]:
+    """Bands and registers a band: the widest bands that a pair at the threshold hardly ever misses."""
+    t = threshold / 100.0
+    for width in range(REGISTERS, 1, -1):
+        if (1.0 - t**width) ** (REGISTERS // width) <= MISS:
+            return REGISTERS // width, width
+    return REGISTERS, 1
+
+
 class _Forest:
     def __init__(self, n):
         self.up = list(range(n))
@@ -196,7 +206,7 @@ def forest(sets: list, regs: np.ndarray, side: np.ndarray, threshold: int = THRE
     return out
 
 
-def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
+def _verify(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
     """Links (a, b) of one task: blocks of one cluster, or many small clusters."""
     found = []
     for _, part in pdf.groupby("cluster", sort=False):
@@ -204,14 +214,14 @@ def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
         regs = np.vstack([np.frombuffer(x, "<u2") for x in part["regs"]])
         ids = part["rep"].to_numpy()
-        found += [(ids[i], ids[j]) for i, j in forest(sets, regs, part["side"].to_numpy())]
+        found += [(ids[i], ids[j]) for i, j in forest(sets, regs, part["side"].to_numpy(), threshold)]
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of `docs` (doc_id, text, ...): doc_id, n_shingles, component_id, kept.
 
-    Rows whose shingle sets have 100 * intersection >= 85 * union are linked; component_id is the
+    Rows whose shingle sets have 100 * intersection >= threshold * union are linked; component_id is the
     smallest doc_id reachable and `kept` marks it. Texts without words are linked with nothing.
     Rows that share a doc_id count as one document; a row without doc_id is its own component
     (component_id null, kept).
@@ -229,14 +239,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = settle(
         sketches.where("n_shingles > 0").join(classes, keys).where("doc_id = rep")
         .select("rep", "n_shingles", "regs").dropDuplicates(["rep"]), "reps")
-    width = 2 * BAND_REGISTERS
-    bands = (reps.select("rep", "regs", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    count, width = banding(threshold)
+    width *= 2
+    bands = (reps.select("rep", "regs", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("band"))
              .select("rep", F.xxhash64("band", F.expr(f"substring(regs, band * {width} + 1, {width})")).alias("bucket")))
     heads = (bands.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n"))
              .where("n > 1").select("bucket", "head"))
     stars = bands.join(heads, "bucket").where("rep != head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     clusters = settle(components(stars), "clusters")
-    links = components(_verified(docs.select("doc_id", "text"), reps, clusters))
+    links = components(_verified(docs.select("doc_id", "text"), reps, clusters, threshold))
     # Classes that reach a smaller doc_id; every other class is its own component.
     moved = links.where("node != label").select(F.col("node").alias("rep"), "label")
     labels = classes.join(moved, "rep", "left").select(
@@ -248,7 +259,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-def _verified(docs: DataFrame, reps: DataFrame, clusters: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, reps: DataFrame, clusters: DataFrame, threshold: int) -> DataFrame:
     members = clusters.select(F.col("node").alias("rep"), F.col("label").alias("cluster")).join(reps, "rep")
     totals = members.groupBy("cluster").agg(
         F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS),
@@ -272,10 +283,11 @@ def _verified(docs: DataFrame, reps: DataFrame, clusters: DataFrame) -> DataFram
                 F.when(block > other, 1).otherwise(0).alias("side"))))
     dealt = sets.select("rep", "cluster", "regs", "shingles", F.explode(pair).alias("pair")).select(
         "rep", "cluster", "regs", "shingles", "pair.*")
-    return dealt.groupBy("task", "low", "high").applyInPandas(_verify, "a long, b long")
+    return dealt.groupBy("task", "low", "high").applyInPandas(
+        lambda pdf: _verify(pdf, threshold), "a long, b long")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """`docs` without the rows that `near_duplicates` doesn't keep; all columns stay."""
-    gone = settle(near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "dropped")
+    gone = settle(near_duplicates(docs, threshold).where("NOT kept").select("doc_id").distinct(), "dropped")
     return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
