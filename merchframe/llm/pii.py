@@ -5,8 +5,8 @@ text beside a map from every normalised character back to its source span:
 
 1. characters: full-width forms, look-alike Greek and Cyrillic letters, other digits and dashes
    become ASCII; zero-width characters vanish;
-2. words: runs of at least four spelled digits ("four two oh one") become digits, "plus" before
-   such a run becomes "+", "dot" between them "." ;
+2. words: runs of at least four spelled digits ("four two oh one") in English, German, French or
+   Spanish become digits, "plus" before such a run becomes "+", "dot" between them "." ;
 3. disguises of an address: "(at)", "[dot]", "{at}" and the like, with or without blanks around
    them, become "@" and "."; bare " at " and " dot " count only in the full shape
    name at host dot ending, with a known ending.
@@ -31,16 +31,25 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 # Look-alikes of Latin letters, spelled digits and endings that bare words may take.
-LOOKALIKES = dict(zip(
-    "аеорсухіѕјһԁԛԝАВЕКМНОРСТХІЅЈυνοραικτΑΒΕΖΗΙΚΜΝΟΡΤΥΧ＠．﹒․·‐‑‒–—−＋（）",
-    "aeopcyxisjhdqwABEKMHOPCTXISJuvopaiktABEZHIKMNOPTYX@....·------+()"))
-DIGIT_WORDS = dict(zip(
-    "zero oh one two three four five six seven eight nine".split(), "00123456789"))
+LOOKALIKES = {c: to for to, group in [
+    ("a", "аα"), ("e", "е"), ("o", "оοο"), ("p", "рρ"), ("c", "с"), ("y", "у"), ("x", "х"), ("i", "іι"),
+    ("s", "ѕ"), ("j", "ј"), ("h", "һ"), ("d", "ԁ"), ("q", "ԛ"), ("w", "ԝ"), ("u", "υ"), ("v", "ν"), ("k", "κ"),
+    ("t", "τ"), ("A", "АΑ"), ("B", "ВΒ"), ("E", "ЕΕ"), ("K", "КΚ"), ("M", "МΜ"), ("H", "НΗ"), ("O", "ОΟ"),
+    ("P", "РΡ"), ("C", "С"), ("T", "ТΤ"), ("X", "ХΧ"), ("I", "ІΙ"), ("S", "Ѕ"), ("J", "Ј"), ("Z", "Ζ"), ("N", "Ν"),
+    ("Y", "Υ"), ("@", "＠"), (".", "．﹒․·"), ("-", "‐‑‒–—―−﹣－"), ("+", "＋﹢"), ("(", "（﹙"), (")", "）﹚")] for c in group}
+# English, German, French and Spanish.
+DIGIT_WORDS = {word: str(digit) for digit, group in enumerate([
+    "zero oh null zéro cero", "one eins un une uno", "two zwei zwo deux dos", "three drei trois tres",
+    "four vier quatre cuatro", "five fünf fuenf cinq cinco", "six sechs seis", "seven sieben sept siete",
+    "eight acht huit ocho", "nine neun neuf nueve"]) for word in group.split()}
+SIGN_WORDS = {"plus": "+", "más": "+", "mas": "+", "dot": ".", "punkt": ".", "point": ".", "punto": "."}
 ENDINGS = "com org net edu gov info io co uk de fr es eu biz dev app".split()
 INVISIBLE = "​‌‍⁠﻿­"
 
+_DIGIT, _PLUS, _DOT = ("|".join(words) for words in (
+    DIGIT_WORDS, [w for w in SIGN_WORDS if SIGN_WORDS[w] == "+"], [w for w in SIGN_WORDS if SIGN_WORDS[w] == "."]))
 _SPELLED = re.compile(
-    r"(?i)(?<![^\W_])(?:plus[\s-]+)?(?:{0})(?:[\s,-]+(?:dot[\s,-]+)?(?:{0})){{3,}}(?![^\W_])".format("|".join(DIGIT_WORDS)))
+    rf"(?i)(?<![^\W_])(?:(?:{_PLUS})[\s-]+)?(?:{_DIGIT})(?:[\s,-]+(?:(?:{_DOT})[\s,-]+)?(?:{_DIGIT})){{3,}}(?![^\W_])")
 _SPELLED_PART = re.compile(r"(?i)[^\W\d_]+")
 _MARKED = re.compile(r"(?i)[\x20\t]*[(\[{<][\x20\t]*(at|dot|punkt|punto|point)[\x20\t]*[)\]}>][\x20\t]*")
 _BARE = re.compile(
@@ -48,8 +57,10 @@ _BARE = re.compile(
     r"(?:[\x20]+dot[\x20]+)(?:" + "|".join(ENDINGS) + ")(?![A-Za-z0-9])")
 _BARE_PART = re.compile(r"(?i)[\x20]+(at|dot)[\x20]+")
 _HINT = re.compile(r"(?i)[(\[{<][\x20\t]*(?:at|dot|punkt|punto|point)[\x20\t]*[)\]}>]|\x20dot\x20")
-_DIGIT_HINT = re.compile(r"(?i)\b(?:%s)\b[\s,-]+(?:dot[\s,-]+)?(?:%s)\b" % ("|".join(DIGIT_WORDS), "|".join(DIGIT_WORDS)))
-_ODD = re.compile("[^\x00-\x7f¡-¬®-ſ]|­")
+_DIGIT_HINT = re.compile(rf"(?i)\b(?:{_DIGIT})\b[\s,-]+(?:(?:{_DOT})[\s,-]+)?(?:{_DIGIT})\b")
+_ODD = re.compile("[^\x00-\x7f¡-¬®-¶¸-ſ]|­")
+# Letters that patterns which ignore case take for i and s, though lower() keeps them.
+_CASE_TWINS = str.maketrans({"ı": "i", "ſ": "s", "\u0307": None})
 
 
 def luhn(digits: str) -> bool:
@@ -145,7 +156,7 @@ def _letters(text: str) -> list:
             edits.append((m.start(), m.end(), ""))
         elif c in LOOKALIKES:
             edits.append((m.start(), m.end(), LOOKALIKES[c]))
-        elif "０" <= c <= "ｚ":
+        elif "！" <= c <= "～":
             edits.append((m.start(), m.end(), chr(ord(c) - 0xFEE0)))
         elif c.isdecimal():
             edits.append((m.start(), m.end(), str(int(c))))
@@ -157,8 +168,8 @@ def _spelled(text: str) -> list:
     for m in _SPELLED.finditer(text):
         parts = list(_SPELLED_PART.finditer(text, *m.span()))
         for k, p in enumerate(parts):
-            word = p.group().lower()
-            new = DIGIT_WORDS.get(word) or {"plus": "+", "dot": "."}[word]
+            word = p.group().lower().translate(_CASE_TWINS)
+            new = DIGIT_WORDS.get(word) or SIGN_WORDS[word]
             # What separates spelled digits belongs to the digit before it.
             end = parts[k + 1].start() if k + 1 < len(parts) else p.end()
             edits.append((p.start(), end, new))
