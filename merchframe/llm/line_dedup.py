@@ -1,11 +1,14 @@
 """Removal of repeated and nearly repeated lines by an exact set-similarity join, in SQL functions.
 
-A line's tokens are its distinct lower-cased words, ordered by rarity. A line goes if an earlier
-line (smaller doc_id, then smaller line number) has Jaccard similarity 0.8 or more.
+A line's tokens are its distinct lower-cased words, ordered by rarity; runs of a script that is
+written without blanks give their overlapping groups of three characters instead. A line goes if an
+earlier line (smaller doc_id, then smaller line number) has Jaccard similarity 0.8 or more. Blank
+lines have no tokens and always stay.
 
 1. Token counts over all lines, by slots of a hash, give classes of frequency. Any fixed order keeps
    the join exact; a good one keeps prefixes rare.
 2. Lines with equal token sets collapse to their first occurrence, aggregated before the shuffle.
+   Lines of up to three tokens are similar to equal sets only, so this settles them.
 3. Prefix filter: similar lines share one of the first floor(n / 5) + 1 tokens. Candidates must also
    pass the length filter, the positional filter and a parity bitmap, which bounds the symmetric
    difference of two sets from below.
@@ -19,8 +22,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from merchframe.llm.common import settle, small_side
 
-#: Lines of fewer distinct words are structure (headings, bullets) and always stay.
+#: Lines of fewer tokens stay where a caller doesn't pass another value.
 MIN_TOKENS = 5
+#: Sets of fewer tokens have similarity 0.8 with equal sets only.
+MIN_JOINED = 4
+#: Characters of scripts written without blanks.
+_DENSE = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}\\p{IsTibetan}\u30fc]"
 #: Slots of the table of token frequencies: a bound on its size.
 FREQUENCY_SLOTS = 65_536
 #: Lines that a line meets on each of its prefix tokens: the first one and those just before it.
@@ -44,9 +51,21 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("version"), "text")
 
 
+def _words(line: Column) -> Column:
+    """Words of a cleaned line or text, some of them empty; dense runs as groups of three characters
+    (shorter runs as they are)."""
+    groups = F.concat(
+        F.split(F.regexp_replace(line, f"{_DENSE}+", " "), " "),
+        F.regexp_extract_all(line, F.lit(f"(?=({_DENSE}{{3}}))"), F.lit(1)),
+        F.regexp_extract_all(line, F.lit(f"(?<!{_DENSE}){_DENSE}{{1,2}}(?!{_DENSE})"), F.lit(0)))
+    # A dense character takes three bytes or more, so most lines need no pattern.
+    dense = (F.octet_length(line) >= F.char_length(line) + 2) & line.rlike(_DENSE)
+    return F.when(dense, groups).otherwise(F.split(line, " "))
+
+
 def _frequency_classes(docs: DataFrame) -> list[int]:
     """For each slot of the token hashes, 1 plus the base-2 logarithm of the number of its tokens."""
-    words = docs.select(F.explode(F.split(F.replace(_clean("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    words = docs.select(F.explode(_words(F.replace(_clean("text"), F.lit("\n"), F.lit(" ")))).alias("w"))
     slot = F.xxhash64("w").bitwiseAND(F.lit(FREQUENCY_SLOTS - 1)).alias("slot")
     classes = [0] * FREQUENCY_SLOTS
     # At most FREQUENCY_SLOTS rows reach the driver.
@@ -63,7 +82,7 @@ def _hot_class(classes: list[int]) -> int:
 
 def _tokens(line: Column, classes: Column) -> Column:
     """Distinct tokens as numbers that sort by rarity: frequency class above 57 bits of a hash."""
-    hashes = F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+    hashes = F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w))
     return F.sort_array(F.transform(F.array_distinct(hashes), lambda h: F.get(
         classes, h.bitwiseAND(F.lit(FREQUENCY_SLOTS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << 57) - 1)))))
 
@@ -77,14 +96,14 @@ def _bitmap(odd: int) -> Column:
     return F.expr(f"aggregate(tokens, 0L, (a, t) -> IF((t & 1) = {odd}, a ^ shiftleft(1L, CAST((t >> 1) & 63 AS INT)), a))")
 
 
-def _occurrences(docs: DataFrame, classes: list[int]) -> DataFrame:
+def _occurrences(docs: DataFrame, classes: list[int], least: int) -> DataFrame:
     """Every compared line: position, 128-bit key of its token set, size, prefix and bitmaps.
 
     A hot token is negative in the prefix.
     """
     lines = _keys(docs).select("doc", "version", F.posexplode(F.split(_clean("text"), "\n")).alias("line", "words"))
-    sets = lines.select("doc", "version", "line", _tokens("words", _table(classes)).alias("tokens")).withColumn(
-        "size", F.size("tokens")).where(F.col("size") >= MIN_TOKENS)
+    sets = lines.select("doc", "version", "line", _tokens(F.col("words"), _table(classes)).alias("tokens")).withColumn(
+        "size", F.size("tokens")).where(F.col("size") >= max(least, 1))
     low, hot = F.lit(2**31 - 1), F.lit(_hot_class(classes) << 57)
 
     def short(t):
@@ -92,7 +111,8 @@ def _occurrences(docs: DataFrame, classes: list[int]) -> DataFrame:
 
     return sets.select(
         "doc", "version", "line", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"), "size",
-        F.transform(F.slice("tokens", 1, F.floor(F.col("size") / 5).cast("int") + 1), short).alias("prefix"),
+        F.transform(F.slice("tokens", 1, F.when(F.col("size") < MIN_JOINED, 0).otherwise(
+            F.floor(F.col("size") / 5).cast("int") + 1)), short).alias("prefix"),
         _bitmap(0).alias("b0"), _bitmap(1).alias("b1"))
 
 
@@ -141,16 +161,16 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, classes: lis
             .where("9 * size(array_intersect(tx, ty)) >= 4 * (size(tx) + size(ty))").select("x", "x2").distinct())
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
     """Lines of `docs` (doc_id, text, ...) that have an earlier similar one: doc, version, lines.
 
     `lines` is the sorted array of line numbers (from 0) of a row; doc stands for doc_id (largest
-    number if null) and version is a hash of the text. Lines of fewer than five distinct words
-    never count. Rows equal in doc_id and text share their lines' positions, so they keep or lose
+    number if null) and version is a hash of the text. Lines of fewer than `least` tokens and blank
+    lines never count. Rows equal in doc_id and text share their lines' positions, so they keep or lose
     the same lines; among versions of one doc_id the smaller hash is earlier.
     """
     classes = _frequency_classes(docs)
-    seen = settle(_occurrences(docs, classes), "line-sets")
+    seen = settle(_occurrences(docs, classes, least), "line-sets")
     firsts = settle(
         seen.groupBy("k1", "k2").agg(F.min(F.struct("doc", "version", "line", "size", "prefix", "b0", "b1")).alias("f"),
                                      F.count(F.lit(1)).alias("n")).select("k1", "k2", "n", "f.*"), "line-firsts")
@@ -173,11 +193,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc", "version").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """`docs` without repeated lines: text holds the lines that stay, n_chars (if a column) its length,
-    n_lines and n_removed count lines. Every row stays, also one that loses all its lines; a null text
-    stays null."""
-    gone = settle(repeated_lines(docs), "repeated-lines")
+def dedup_lines(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
+    """`docs` without repeated lines of `least` tokens or more: text holds the lines that stay, n_chars
+    (if a column) its length, n_lines and n_removed count lines. Every row stays, also one that loses
+    all its lines; a null text stays null."""
+    gone = settle(repeated_lines(docs, least), "repeated-lines")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_lines", i)), "\n")
     out = (docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(2**63 - 1)), "_version": F.xxhash64("text")})

@@ -19,7 +19,7 @@ def _register(name, run, sql=None):
 
 
 _register("op4_line_dedup",
-          lambda spark, sf_dir: line_dedup.dedup_lines(read(spark, sf_dir, "documents")))
+          lambda spark, sf_dir: line_dedup.dedup_lines(read(spark, sf_dir, "documents"), least=1))
 _register("op3_toxicity_neighbours",
           lambda spark, sf_dir: toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
 _register("op5_personal_data", lambda spark, sf_dir: pii.find_personal_data(read(spark, sf_dir, "documents")).select(
