@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from merchframe.llm import (
-    chat, fingerprints, line_dedup, packing, pii, setsketch, sharding, toxicity, unigram, vp_search)
+    chat, fill_middle, fingerprints, line_dedup, packing, pii, setsketch, sharding, toxicity, unigram, vp_search)
 from merchframe.llm.common import read
 
 QUERIES = {}
@@ -50,4 +50,6 @@ def _sentencepiece(spark, sf_dir):
 
 
 _register("op1_sentencepiece_scan", _sentencepiece)
+_register("op13_fill_in_middle",
+          lambda spark, sf_dir: fill_middle.digest(fill_middle.fill_in_middle(read(spark, sf_dir, "documents"))))
 _register("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
