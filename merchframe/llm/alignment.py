@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from merchframe.llm.common import settle, ship_package, small_side
 from merchframe.llm.fill_middle import blocks
-from merchframe.llm.packing import Encoder
+from merchframe.llm.packing import LONG_RUN, Encoder
 
 #: Text bytes that are aligned together (a longer text is a block of its own).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Groups with more links than this are summed up by distinct ids before they are multiplied out.
 WIDE = 4_096
 #: Bits of a B id in the number of a pair.
@@ -61,23 +61,21 @@ class Tokenizers:
         if len(pieces) > 1 << B_BITS or self.a.fast.n_vocab > 1 << (31 - B_BITS):
             raise ValueError("a pair of ids doesn't fit into 31 bits")
         self.blank = self.b.piece_to_id("▁")
-        self.a_bytes = self._spelled([self.a.fast.decode_single_token_bytes(i) if i in self.a_known() else b""
-                                      for i in range(self.a.fast.n_vocab)])
+        self.a_bytes = self._spelled([self.a.fast.decode_single_token_bytes(i) for i in range(self.a.fast.n_vocab)])
         self.b_bytes = self._spelled([
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else
             b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)])
 
-    def a_known(self):
-        return set(self.a.fast._mergeable_ranks.values())
-
     @staticmethod
     def _spelled(tokens):
         return pa.array(tokens, pa.large_binary()), np.array([len(t) for t in tokens], "i8")
 
     def encode(self, units: list[str]):
         """(ids, offsets) of both tokenizers for units that each begin with a blank."""
-        of_a = [self.a.ids(u) for u in units]
+        # Units are distinct, so the encoder's memory of words has no use for short ones.
+        fast = self.a.fast.encode_ordinary
+        of_a = [fast(u) if len(u) < LONG_RUN else self.a.ids(u) for u in units]
         of_b = [ids if u != " " else [self.blank] for u, ids in zip(units, self.b.encode(
             [u[1:] for u in units], num_threads=1))]  # the model puts the blank back in front
         return _flat(of_a, "i8"), _flat(of_b, "i8")
