@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from merchframe.llm import (
-    alignment, chat, fill_middle, fingerprints, line_dedup, packing, pii, setsketch, sharding, toxicity, unigram, vp_search)
+    alignment, chat, fill_middle, fingerprints, language_id, line_dedup, packing, pii, setsketch, sharding, toxicity,
+    unigram, vp_search)
 from merchframe.llm.common import read
 
 QUERIES = {}
@@ -50,6 +51,7 @@ def _sentencepiece(spark, sf_dir):
 
 
 _register("op1_sentencepiece_scan", _sentencepiece)
+_register("op11_language_ppm", lambda spark, sf_dir: language_id.identify(read(spark, sf_dir, "documents")))
 _register("op12_cross_tokenizer_alignment", lambda spark, sf_dir: alignment.align(read(spark, sf_dir, "documents")))
 _register("op13_fill_in_middle",
           lambda spark, sf_dir: fill_middle.digest(fill_middle.fill_in_middle(read(spark, sf_dir, "documents"))))
