@@ -26,9 +26,9 @@ from merchframe.llm.fill_middle import blocks
 #: Bytes of the longest context.
 DEPTH = 5
 #: Text bytes to learn a language from, and all languages together, as expected values.
-SAMPLE_BYTES, SAMPLE_TOTAL = 4 << 20, 64 << 20
+SAMPLE_BYTES, SAMPLE_TOTAL = 1 << 20, 8 << 20
 #: Entries (contexts with a byte, times languages) of the model; the rarest go beyond that.
-MAX_CELLS = 32 << 20
+MAX_CELLS = 16 << 20
 #: Prediction for texts without letters, and where nothing could be learnt.
 UNKNOWN = "und"
 #: Text bytes whose words are coded together (a longer text is a block of its own).
