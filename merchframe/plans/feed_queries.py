@@ -56,6 +56,29 @@ SELECT feed, CAST(row_number() OVER (PARTITION BY feed ORDER BY pos) AS INTEGER)
   CAST(len(cells) AS INTEGER) AS n_cells, array_to_string(cells, '~') AS cells FROM r""")
 
 
+def quoted_feed_rows(spark, sf):
+    folder = I.write_quoted_csv_files(spark, sf, shared_folder(spark, "feeds"))
+    return feed_files.scan_feed_csv(spark, folder).withColumn("feed_id", F.regexp_extract("feed_id", "feed=([^/]+)/", 1))
+
+
+def scan_quoted_csv(spark, sf):
+    return quoted_feed_rows(spark, sf).select(
+        "feed_id", F.row_number().over(W.partitionBy("feed_id").orderBy("pos")).alias("row_no"),
+        F.size("cells").alias("n_cells"), joined("cells", "~").alias("cells"))
+
+
+QUOTED_NAME_SQL = f"""CASE WHEN p_partkey % 7 = 0 THEN p_name || {_SEP_SQL} || ' "x"' || chr(10) || 'second, line' || chr(10)
+  ELSE p_name END"""
+register("scan_feed_csv_quoted_breaks", scan_quoted_csv, f"""
+WITH r AS (
+  SELECT {_FEED_SQL} AS feed_id, p_partkey + 2 AS pos, [{QUOTED_NAME_SQL}, p_type, printf('%.2f', p_retailprice),
+    CAST(p_size AS VARCHAR), CASE WHEN p_partkey % 3 = 0 THEN '5" wide' ELSE '' END] AS cells FROM part
+  UNION ALL SELECT DISTINCT {_FEED_SQL}, 0, ['Price list'] FROM part
+  UNION ALL SELECT DISTINCT {_FEED_SQL}, 1, ['Name', 'Type', 'Price', 'Size', 'Note'] FROM part)
+SELECT feed_id, CAST(row_number() OVER (PARTITION BY feed_id ORDER BY pos) AS INTEGER) AS row_no,
+  CAST(len(cells) AS INTEGER) AS n_cells, array_to_string(cells, '~') AS cells FROM r""")
+
+
 def sniff_delimiter(spark, sf):
     folder = I.write_csv_files(spark, sf, shared_folder(spark, "feeds"))
     return feed_files.sniff_delimiter(spark, folder).select(

@@ -171,6 +171,25 @@ def write_csv_files(spark, sf, folder: str) -> str:
     return folder
 
 
+def write_quoted_csv_files(spark, sf, folder: str) -> str:
+    """CSV files like those of `write_csv_files`, with separators, quotes and line breaks in quoted names."""
+    k, no = _k(), _brand_no()
+    feed = F.concat(F.lit("b"), no.cast("string"), F.lit("-"), F.floor(k / FEED_CHUNK).cast("string"))
+    sep = pick([",", "\t", "|", ";"], no)
+    name = F.when(k % 7 == 0, F.concat(F.lit('"'), "p_name", sep, F.lit(' ""x""\nsecond, line\n"'))).otherwise(F.col("p_name"))
+    line = F.concat_ws("\x01", name, "p_type", F.format_string("%.2f", "p_retailprice"), F.col("p_size").cast("string"),
+                       F.when(k % 3 == 0, '5" wide').otherwise(""))
+    rows = table(spark, sf, "part").select(feed.alias("feed"), (k + 2).alias("pos"), sep.alias("sep"), line.alias("line"))
+    top = rows.select("feed", "sep").distinct().select("feed", "sep", F.inline(F.array(
+        _row(F.lit(0), F.lit("Price list")),
+        _row(F.lit(1), F.concat_ws("\x01", *map(F.lit, ["Name", "Type", "Price", "Size", "Note"]))))))
+    every_line = rows.unionByName(top.withColumnRenamed("cells", "line")).select(
+        "feed", "pos", F.replace("line", F.lit("\x01"), F.col("sep")).alias("line"))
+    every_line.repartition("feed").sortWithinPartitions("feed", "pos").select("feed", "line").write.partitionBy(
+        "feed").text(folder)
+    return folder
+
+
 # --- listings and payloads --------------------------------------------------------------
 
 def _order_store() -> tuple[Column, Column]:

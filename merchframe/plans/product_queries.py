@@ -8,7 +8,7 @@ from merchframe.functions.text import clean_value, slugify
 from merchframe.functions.values import fixed2
 from merchframe.operators import mapping, payloads, products
 from merchframe.plans import inputs as I
-from merchframe.plans.feed_queries import CONSTANT_SQL, joined
+from merchframe.plans.feed_queries import CONSTANT_SQL, QUOTED_NAME_SQL, _FEED_SQL, joined, quoted_feed_rows
 from merchframe.plans.registry import register
 from merchframe.plans.sql import generated, options, pick, slug, source, strip
 from merchframe.session import settle, shared_folder
@@ -191,6 +191,28 @@ def csv_round_trip(spark, sf):
 register("write_product_csv", csv_round_trip,
          f"{GEN} SELECT {columns_sql(*S.TARGET_COLUMNS)} FROM gen")
 
+
+def import_csv_files(spark, sf):
+    """CSV files with line breaks in quotes all the way to one product CSV folder per feed, read back."""
+    feed_rows = settle(quoted_feed_rows(spark, sf), "feed-rows")
+    folder = shared_folder(spark, "products")
+    write_product_csv(products.generate_feeds(feed_rows), folder, by_feed=True)
+    schema = ", ".join(f"`{t}` string" for t in S.TARGET_COLUMNS)
+    back = spark.read.schema(schema + ", feed_id string").options(
+        header=True, quote='"', escape='"', multiLine=True).csv(folder)
+    return back.select("feed_id", *[F.coalesce(F.col(f"`{t}`"), F.lit("")).alias(snake(t)) for t in (
+        "Title", "URL handle", "Type", "Option1 name", "Option1 value", "Price", "Status")])
+
+
+register("import_csv_files", import_csv_files, f"""
+WITH r AS (SELECT {_FEED_SQL} AS feed_id, p_partkey, p_type, p_size, p_retailprice,
+    rtrim({QUOTED_NAME_SQL}, chr(10)) AS title FROM part),
+b AS (SELECT *, {slug('title')} AS base FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY feed_id, base ORDER BY p_partkey) AS use FROM b)
+SELECT feed_id, title, base || CASE WHEN use > 1 THEN '-' || use ELSE '' END AS url_handle, p_type AS type,
+  'Size' AS option1_name, CAST(p_size AS VARCHAR) AS option1_value, printf('%.2f', p_retailprice) AS price,
+  'Active' AS status FROM n""")
+
 # --- listings ---------------------------------------------------------------------------
 
 _NO = f"(o_orderkey // {I.ORDERS_PER_GROUP} * 4 + o_orderkey % 4)"

@@ -90,7 +90,7 @@ def test_feed_without_title_gives_nothing(spark):
 def test_quoted_line_breaks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Title row\nName,Note\n"x","one\ntwo, three"\ny,"q ""q"""\n')
     (tmp_path / "b.csv").write_bytes("Name;Note\ncaf\xe9;1\n".encode("latin-1"))
-    rows = scan_feed_csv(spark, str(tmp_path), multi_line=True).orderBy("feed_id", "pos").collect()
+    rows = scan_feed_csv(spark, str(tmp_path)).orderBy("feed_id", "pos").collect()
     assert [r.cells for r in rows] == [
         ["Title row"], ["Name", "Note"], ["x", "one\ntwo, three"], ["y", 'q "q"'],
         ["Name", "Note"], ["café", "1"]]
