@@ -6,7 +6,7 @@ Client headers stay data: they never become column names, so feeds of any shape
 from pyspark.sql import Column, DataFrame, functions as F
 
 from merchframe.functions.text import clean_value, is_header_string, is_nonempty
-from merchframe.operators.ordered import first_in_order
+from merchframe.operators.ordered import first_in_order, join_feed
 from merchframe.schema import (
     HEADER_MIN_SHARE, HEADER_SCAN_ROWS, PREFERRED_SHEETS, PREVIEW_CHARS,
     PREVIEW_FALLBACK_COLUMNS, PREVIEW_PRIORITY, PREVIEW_ROWS, SKIPPED_SHEETS,
@@ -91,12 +91,11 @@ def feed_headers(feed_rows: DataFrame) -> DataFrame:
 # --- body rows --------------------------------------------------------------------------
 
 def apply_header(feed_rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """Rows below the header with the feed's header columns joined on.
+    """Rows below the header with the feed's header columns joined on, by blocks of the feed.
 
-    `headers` holds one row per feed. Spark picks the join side by size, and a hot feed's rows are
-    split by the skew join.
+    `headers` holds one row per feed.
     """
-    return feed_rows.join(headers, "feed_id").where(F.col("pos") > F.col("header_pos"))
+    return join_feed(feed_rows, headers).where(F.col("pos") > F.col("header_pos")).drop("_block")
 
 
 def kept_cells(cells: Column, keep: Column) -> Column:
@@ -110,9 +109,17 @@ def drop_blank_rows(rows: DataFrame) -> DataFrame:
 def normalize_feeds(feed_rows: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """Clean body rows: (feed_id, pos, cells), cells aligned with `feed_headers.headers`."""
     headers = feed_headers(feed_rows) if headers is None else headers
-    body = apply_header(feed_rows, headers.select("feed_id", "header_pos", "keep"))
-    return drop_blank_rows(body.select(
-        "feed_id", "pos", kept_cells(F.col("cells"), F.col("keep")).alias("cells")))
+    return body_rows(feed_rows, headers).drop("_block")
+
+
+def body_rows(feed_rows: DataFrame, headers: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """Clean body rows with `_block`, in place by (feed, block) for what follows."""
+    body = join_feed(feed_rows, headers.select("feed_id", "header_pos", "keep"), blocks).where(
+        F.col("pos") > F.col("header_pos"))
+    kept = kept_cells(F.col("cells"), F.col("keep"))
+    # The size names `cells` outside of the lambda: else Spark moves the test to the feeds' side of the join.
+    filled = F.when(F.size("cells") > 0, F.exists(kept, lambda c: c != ""))
+    return body.where(filled).select("feed_id", "_block", "pos", kept.alias("cells"))
 
 
 def feed_profile(feed_rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from merchframe.functions.text import (
     col, contains_any, normalize_header, or_blank, strip,
 )
+from merchframe.operators.ordered import join_feed
 from merchframe.schema import (
     HEADER_ALIASES, KEYWORD_RULES, SAMPLE_FALSE_WORDS, SAMPLE_TRUE_WORDS, SKIP_LABEL,
     STATUS_WORDS, SUGGESTION_RULES, TARGET_COLUMNS,
@@ -150,6 +151,33 @@ def resolve_field_map(mapped: DataFrame) -> DataFrame:
     return mapped.withColumn("field_map", field_map("targets"))
 
 
+def given_mapping(mapping: DataFrame, headers: DataFrame) -> DataFrame:
+    """One row per feed of a given mapping table, in the form of `map_feeds`.
+
+    `mapping` holds rows (feed_id, col_idx, target_field, constant_value): a column of the client mapped by hand,
+    perhaps with one value for all rows. Blank and skipped targets map nothing. Of several columns of one
+    target the first one counts, also for its constant; of several rows of one column the smallest target does.
+    Adds `targets` (aligned with `headers`) and `constants` (target -> value, for any target). Feeds without
+    mapping rows map nothing. Rows beyond a feed's headers are ignored.
+    """
+    wanted = mapping.where(~or_blank("target_field").isin("", SKIP_LABEL) & (F.col("col_idx") >= 0))
+    per_column = wanted.groupBy("feed_id", "col_idx").agg(
+        F.min(F.struct("target_field", "constant_value")).alias("m"))
+    # Targets are few, so a feed's winners fit one row; candidates are cut down before they are collected.
+    first = per_column.select("feed_id", "col_idx", "m.target_field", "m.constant_value").groupBy(
+        "feed_id", "target_field").agg(F.min(F.struct("col_idx", "constant_value")).alias("first"))
+    known = first.where(F.col("target_field").isin(TARGET_COLUMNS))
+    placed = known.groupBy("feed_id").agg(F.map_from_entries(F.collect_list(
+        F.struct("first.col_idx", "target_field"))).alias("at"), F.map_from_entries(F.collect_list(F.when(
+            F.col("first.constant_value").isNotNull(),
+            F.struct("target_field", "first.constant_value")))).alias("constants"))
+    out = headers.join(placed, "feed_id", "left")
+    targets = F.transform("headers", lambda h, i: or_blank(F.col("at")[i]))
+    here = F.map_filter("constants", lambda t, v: F.array_contains("targets", t))
+    return out.withColumn("targets", targets).withColumn("constants", F.coalesce(
+        here, F.create_map().cast("map<string,string>"))).drop("at")
+
+
 def require_title(mapped: DataFrame) -> DataFrame:
     """(feed_id, has_title, reason): feeds without a title column can't be generated."""
     has = F.array_contains("targets", "Title")
@@ -181,14 +209,16 @@ def constant_published(sample) -> Column:
         word.isin(SAMPLE_TRUE_WORDS), "TRUE").otherwise("TRUE")
 
 
-def feed_constants(rows: DataFrame, mapped: DataFrame) -> DataFrame:
+def feed_constants(rows: DataFrame, mapped: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """(feed_id, constants map target -> value): the one value of Status and Published per feed.
 
-    Only the two flag cells of a row are looked at, and the minimum by position is pre-aggregated.
+    Only the two flag cells of a row are looked at, and the minimum by position is pre-aggregated. Feeds
+    that map neither column take no part in the join.
     """
     at = resolve_field_map(mapped).select(
-        "feed_id", F.col("field_map")[STATUS].alias("s"), F.col("field_map")[PUBLISHED].alias("p"))
-    flags = rows.join(at, "feed_id").select(
+        "feed_id", F.col("field_map")[STATUS].alias("s"), F.col("field_map")[PUBLISHED].alias("p")).where(
+        "s IS NOT NULL OR p IS NOT NULL")
+    flags = join_feed(rows, at, blocks).select(
         "feed_id", "pos", "s", "p",
         strip(F.get("cells", F.col("s"))).alias("status"),
         strip(F.get("cells", F.col("p"))).alias("published"))

@@ -12,14 +12,14 @@ from merchframe.functions.urls import absolute_image_url
 from merchframe.functions.values import (
     norm_bool, norm_inventory_policy, norm_status, split_option_values,
 )
-from merchframe.operators.feeds import feed_headers, normalize_feeds
-from merchframe.operators.mapping import feed_constants, map_feeds, resolve_field_map
+from merchframe.operators.feeds import body_rows, feed_headers, normalize_feeds
+from merchframe.operators.mapping import feed_constants, given_mapping, map_feeds, resolve_field_map
+from merchframe.operators.ordered import BLOCK_BITS, feed_blocks, join_feed, place, with_block
 from merchframe.schema import (
     BLANK_HANDLE, DEFAULTS, OPTION_NAME_DEFAULTS, PRODUCT_LEVEL, TARGET_COLUMNS,
 )
 from merchframe.session import settle
 
-BLOCK_BITS = 16
 OPTIONS = (1, 2, 3)
 _AT = {t: i for i, t in enumerate(TARGET_COLUMNS)}
 
@@ -32,20 +32,22 @@ def target_slots(field_map) -> Column:
 
 
 def project_fields(rows: DataFrame, mapped: DataFrame,
-                   constants: DataFrame | None = None) -> DataFrame:
-    """(feed_id, pos, vals, mapped): values of the 39 targets per source row.
+                   constants: DataFrame | None = None, blocks: DataFrame | None = None,
+                   bits: int = BLOCK_BITS) -> DataFrame:
+    """(feed_id, _block, pos, vals, mapped): values of the 39 targets per source row.
 
     `mapped` and `constants` hold one row per feed. Constants replace the cell of their target.
     """
-    feeds = resolve_field_map(mapped).select("feed_id", target_slots("field_map").alias("slots"))
+    feeds = resolve_field_map(mapped.select("feed_id", "targets")).select(
+        "feed_id", target_slots("field_map").alias("slots"))
     if constants is None:
         fixed = F.array_repeat(F.lit(None).cast("string"), len(TARGET_COLUMNS))
     else:
         feeds = feeds.join(constants, "feed_id", "left")
         fixed = F.array(*[F.col("constants")[t] for t in TARGET_COLUMNS])
     feeds = feeds.select("feed_id", "slots", fixed.alias("fixed"))
-    return rows.join(feeds, "feed_id").select(
-        "feed_id", "pos",
+    return join_feed(rows, feeds, blocks, bits).select(
+        "feed_id", "_block", "pos",
         F.zip_with("slots", "fixed", lambda s, c: F.coalesce(
             F.when(s.isNotNull(), c), F.get("cells", s), F.lit(""))).alias("vals"),
         F.transform("slots", lambda s: s.isNotNull()).alias("mapped"),
@@ -87,14 +89,14 @@ def attach_active_product(rows: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     Rows above a feed's first titled row are dropped. A feed is cut into blocks of `2 ** bits`
     positions. One pre-aggregated table holds, per block and handle base, how often the base was
     used and the block's last product; summed over the earlier blocks it tells each block where
-    it starts. These start states enter the stream as extra rows at position -1, so the wide rows
-    are shuffled once, by (feed, block), and no task sees more than one block of a hot feed.
+    it starts. These start states enter the stream as extra rows at position -1. Rows placed by (feed,
+    block) stay where they are, and no task sees more than one block of a hot feed. Rows that have
+    `_block` keep it, whatever `bits`.
     """
     titled = value("Title") != ""
     names = F.struct(*[option_name(n).alias(f"n{n}") for n in OPTIONS])
-    rows = rows.select(
-        "*", titled.alias("titled"), F.when(titled, handle_base()).alias("_base"),
-        F.shiftright("pos", bits).alias("_block"))
+    rows = with_block(rows, bits).select(
+        "*", titled.alias("titled"), F.when(titled, handle_base()).alias("_base"))
 
     uses = rows.groupBy("feed_id", "_block", "_base").agg(
         F.count(F.lit(1)).alias("_n"), F.max("pos").alias("_last"),
@@ -118,11 +120,10 @@ def attach_active_product(rows: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
 
     stream = (
         rows.withColumn("_weight", F.lit(1).cast("bigint"))
-        .unionByName(start_uses.withColumn("pos", F.lit(-1).cast("bigint")),
+        .unionByName(start_uses.withColumn("pos", F.lit(-1).cast("bigint")).repartition("feed_id", "_block"),
                      allowMissingColumns=True)
-        .unionByName(start_products.withColumn("pos", F.lit(-1).cast("bigint")),
-                     allowMissingColumns=True)
-        .repartition("feed_id", "_block"))
+        .unionByName(start_products.withColumn("pos", F.lit(-1).cast("bigint")).repartition("feed_id", "_block"),
+                     allowMissingColumns=True))
     use = F.sum("_weight").over(
         W.partitionBy("feed_id", "_block", "_base").orderBy("pos")
         .rowsBetween(W.unboundedPreceding, 0))
@@ -206,9 +207,9 @@ def output_rows(expanded: DataFrame) -> DataFrame:
 
 
 def generate(rows: DataFrame, mapped: DataFrame, constants: DataFrame | None = None,
-             bits: int = BLOCK_BITS) -> DataFrame:
+             bits: int = BLOCK_BITS, blocks: DataFrame | None = None) -> DataFrame:
     """Output rows of all feeds; a feed without a Title column has no titled row, so none."""
-    projected = project_fields(rows, mapped, constants)
+    projected = project_fields(place(rows, bits), mapped, constants, blocks, bits)
     return output_rows(expand_variants(attach_active_product(projected, bits)))
 
 
@@ -219,9 +220,27 @@ def prepare_feeds(feed_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def generate_feeds(feed_rows: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
-    """Raw feeds to output rows, with one constant status and published flag per feed."""
-    rows, mapped = prepare_feeds(feed_rows)
-    return generate(rows, mapped, feed_constants(rows, mapped), bits)
+    """Raw feeds to output rows, with one constant status and published flag per feed.
+
+    Raw rows are shuffled once, by (feed, block). Header, constants, slots and start states reach them there, and
+    only narrow facts about feeds and blocks are written in between.
+    """
+    mapped = settle(map_feeds(feed_headers(feed_rows)), "mapped")
+    blocks = settle(feed_blocks(feed_rows, bits), "blocks")
+    rows = body_rows(place(feed_rows, bits), mapped, blocks)
+    constants = settle(feed_constants(rows, mapped, blocks), "constants")
+    return generate(rows, mapped, constants, bits, blocks)
+
+
+def generate_given(feed_rows: DataFrame, mapping: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """Raw feeds to output rows under a given mapping table (feed_id, col_idx, target_field, constant_value).
+
+    Constants stand in every row of their target; Status and Published without one are read from the cells.
+    """
+    mapped = settle(given_mapping(mapping, feed_headers(feed_rows)), "mapped")
+    blocks = settle(feed_blocks(feed_rows, bits), "blocks")
+    rows = body_rows(place(feed_rows, bits), mapped, blocks)
+    return generate(rows, mapped, mapped.select("feed_id", "constants"), bits, blocks)
 
 
 def generation_totals(product_rows: DataFrame) -> DataFrame:

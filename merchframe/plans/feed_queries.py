@@ -360,6 +360,26 @@ SELECT feed_id, target_field AS target, min(col_idx) AS col_idx, min_by(client_c
 FROM ({_MAPPED_SQL}) WHERE target_field IS NOT NULL GROUP BY feed_id, target_field""")
 
 
+def resolve_given_mapping(spark, sf):
+    headers = feeds.feed_headers(I.supplier_feeds(spark, sf))
+    mapped = mapping.given_mapping(I.given_mappings(spark, sf, S.SKIP_LABEL), headers)
+    rows = mapping.resolve_field_map(mapped).select(
+        "feed_id", F.explode("field_map").alias("target", "col_idx"), "headers", "constants")
+    return rows.select("feed_id", "target", "col_idx", F.get("headers", F.col("col_idx")).alias("client_col"),
+                       F.col("constants")[F.col("target")].alias("constant"))
+
+
+register("resolve_given_mapping", resolve_given_mapping, f"""
+WITH f AS (SELECT DISTINCT p_brand AS feed_id, {BRAND_NO} % 2 = 1 AS odd,
+    CASE WHEN {BRAND_NO} % 2 = 1 THEN {sql_list(_ODD_KEPT)} ELSE {sql_list(_EVEN_KEPT)} END AS names FROM part),
+m AS (SELECT feed_id, odd, names, CAST(generate_subscripts({sql_list(I.GIVEN_TARGETS)}, 1) - 1 AS INTEGER) AS col_idx,
+    unnest({sql_list(I.GIVEN_TARGETS)}) AS target FROM f),
+c AS (SELECT *, CASE WHEN odd AND col_idx = 1 THEN 'House' WHEN odd AND col_idx = 9 THEN 'Later'
+    WHEN odd AND col_idx = 8 THEN 'FALSE' END AS value FROM m WHERE target <> '' AND target NOT LIKE '--%'),
+r AS (SELECT *, row_number() OVER (PARTITION BY feed_id, target ORDER BY col_idx) AS rn FROM c)
+SELECT feed_id, target, col_idx, names[col_idx + 1] AS client_col, value AS constant FROM r WHERE rn = 1""")
+
+
 def sample_value(spark, sf):
     rows = I.supplier_feeds(spark, sf)
     headers = feeds.feed_headers(rows)

@@ -88,6 +88,23 @@ def supplier_feeds(spark, sf, continuation: bool = False) -> DataFrame:
     return body.unionByName(top.where("pos is not null"))
 
 
+GIVEN_TARGETS = ["Title", "Vendor", "Type", "Title", "Tags", "Price", "SKU", "-- Skip this column --", "Gift card", "Vendor", ""]
+
+
+def given_mappings(spark, sf, skip: str) -> DataFrame:
+    """(feed_id, col_idx, target_field, constant_value): mappings by hand of the supplier feeds' columns.
+
+    Two columns share a target, one is skipped and one blank; odd feeds give a constant vendor and gift card.
+    """
+    odd = _brand_no() % 2 == 1
+    targets = F.array(*[F.lit(skip if t.startswith("--") else t) for t in GIVEN_TARGETS])
+    rows = table(spark, sf, "part").select("p_brand").distinct().select(
+        F.col("p_brand").alias("feed_id"), odd.alias("odd"), F.posexplode(targets).alias("col_idx", "target_field"))
+    constant = F.when(F.col("odd") & (F.col("col_idx") == 1), "House").when(
+        F.col("odd") & (F.col("col_idx") == 9), "Later").when(F.col("odd") & (F.col("col_idx") == 8), "FALSE")
+    return rows.select("feed_id", "col_idx", "target_field", constant.alias("constant_value"))
+
+
 def nation_feeds(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(feeds, feed_rows): one feed per nation and one per region; some hold no data."""
     nation, supplier = table(spark, sf, "nation"), table(spark, sf, "supplier")

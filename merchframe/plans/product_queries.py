@@ -19,9 +19,9 @@ def snake(target: str) -> str:
     return "".join(c if c.isalnum() else "_" for c in target.lower()).strip("_").replace("__", "_")
 
 
-def projected(spark, sf, continuation=True):
+def projected(spark, sf, continuation=True, bits=products.BLOCK_BITS):
     rows, mapped = products.prepare_feeds(I.supplier_feeds(spark, sf, continuation))
-    return products.project_fields(rows, mapped)
+    return products.project_fields(products.place(rows, bits), mapped, bits=bits)
 
 
 def product_rows(spark, sf, continuation=True):
@@ -103,7 +103,7 @@ register("carry_active_product", carry_active_product,
 
 def unique_handle(spark, sf):
     # Small blocks, so that numbering crosses block borders.
-    rows = products.attach_active_product(projected(spark, sf, False), bits=6)
+    rows = products.attach_active_product(projected(spark, sf, False, 6), bits=6)
     return rows.where("titled").select("feed_id", "pos", F.col("active.handle").alias("handle"))
 
 
@@ -213,6 +213,21 @@ SELECT feed_id, title, base || CASE WHEN use > 1 THEN '-' || use ELSE '' END AS
   'Size' AS option1_name, CAST(p_size AS VARCHAR) AS option1_value, printf('%.2f', p_retailprice) AS price,
   'Active' AS status FROM n""")
 
+
+def generate_given(spark, sf):
+    rows = products.generate_given(I.supplier_feeds(spark, sf), I.given_mappings(spark, sf, S.SKIP_LABEL))
+    return rows.select("feed_id", "pos", "variant_idx", *[F.col(f"`{t}`").alias(snake(t)) for t in (
+        "Title", "URL handle", "Vendor", "Type", "Tags", "Price", "SKU", "Gift card", "Status")])
+
+
+register("generate_given_mapping", generate_given, f"""WITH {source()},
+b AS (SELECT *, coalesce(nullif({slug('title')}, ''), 'product') AS base FROM src WHERE title <> ''),
+n AS (SELECT *, row_number() OVER (PARTITION BY feed_id, base ORDER BY pos) AS use FROM b)
+SELECT feed_id, pos, CAST(0 AS INTEGER) AS variant_idx, title,
+  base || CASE WHEN use > 1 THEN '-' || use ELSE '' END AS url_handle, CASE WHEN odd THEN 'House' ELSE vendor END AS vendor,
+  kind AS type, colours AS tags, price, sku, CASE WHEN odd THEN 'FALSE' ELSE qty END AS gift_card, 'Active' AS status
+FROM n""")
+
 # --- listings ---------------------------------------------------------------------------
 
 _NO = f"(o_orderkey // {I.ORDERS_PER_GROUP} * 4 + o_orderkey % 4)"
