@@ -27,7 +27,7 @@ def image_plan(files: DataFrame, wanted: str = "WEBP") -> DataFrame:
     """(path, supported, out_name, collides): what a conversion would write.
 
     Outputs that share a name are counted first and joined back, so a name that most files share
-    is pre-aggregated instead of windowed.
+    is pre-aggregated instead of windowed. Files without an output take no part in the join.
     """
     fmt = target_format(F.lit(wanted))
     extension = F.create_map(*[F.lit(x) for p in IMAGE_TARGETS.items() for x in p])[fmt]
@@ -36,8 +36,9 @@ def image_plan(files: DataFrame, wanted: str = "WEBP") -> DataFrame:
                         F.when(supported, F.concat(stem("path"), extension)).alias("out_name"))
     shared = plan.where("supported").groupBy("out_name").agg(
         F.count(F.lit(1)).alias("n")).where("n > 1").select("out_name", F.lit(True).alias("_shared"))
-    return plan.join(shared, "out_name", "left").select(
+    named = plan.where("supported").join(shared, "out_name", "left").select(
         "path", "supported", "out_name", F.coalesce("_shared", F.lit(False)).alias("collides"))
+    return named.unionByName(plan.where("NOT supported").withColumn("collides", F.lit(False)))
 
 
 def image_plan_totals(plan: DataFrame) -> DataFrame:

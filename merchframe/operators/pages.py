@@ -8,7 +8,7 @@ from merchframe.functions.html import (
 from merchframe.functions.jsonld import find_product, find_products
 from merchframe.functions.text import clean_value, col, contains_any, first_text, or_blank, strip
 from merchframe.operators.payloads import (
-    as_items, filled_text, is_object, json_get, scalar_text,
+    as_items, filled_text, is_object, json_get, parse_json, scalar_text,
 )
 from merchframe.schema import SKIPPED_IMAGE_WORDS
 
@@ -33,7 +33,7 @@ def jsonld_blocks(page: Column) -> Column:
     bodies = F.transform(
         F.filter(page["nodes"], lambda n: (n["tag"] == "script") & n["script"].isNotNull()),
         lambda n: strip(n["script"]))
-    return F.filter(bodies, lambda b: F.try_parse_json(b).isNotNull())
+    return F.filter(bodies, lambda b: parse_json(b).isNotNull())
 
 
 def _first_item(value: Column) -> Column:
@@ -42,7 +42,7 @@ def _first_item(value: Column) -> Column:
 
 def jsonld_project(product) -> Column:
     """struct of product fields from one linked-data product node (JSON text)."""
-    node = F.try_parse_json(col(product))
+    node = parse_json(product)
     get = lambda name: json_get(node, f"$.{name}")
     brand, image, offer = get("brand"), _first_item(get("image")), _first_item(get("offers"))
     raw = lambda v: F.when(filled_text(v) == "", "").otherwise(scalar_text(v))

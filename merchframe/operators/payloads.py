@@ -1,6 +1,6 @@
 """Catalogue JSON: listing pages and product payloads to draft rows."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from merchframe.functions.text import col, first_text, or_blank, strip
 from merchframe.functions.urls import absolute_image_url
@@ -8,10 +8,7 @@ from merchframe.functions.values import normalize_prices
 from merchframe.schema import (
     DRAFT_COLUMNS, PLACEHOLDER_OPTION_NAME, PLACEHOLDER_OPTION_VALUES,
 )
-
-# Bits of a draft row's position kept for its variant, and for blocks of 256 products.
-VARIANT_BITS = 21
-CRAWL_BLOCK_BITS = VARIANT_BITS + 8
+from merchframe.session import settle
 
 
 # --- JSON values ------------------------------------------------------------------------
@@ -28,9 +25,19 @@ def json_kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def parse_json(text) -> Column:
+    """Parsed JSON text, NULL if broken. Of repeated keys in an object the last one counts.
+
+    Spark takes repeated keys by a setting of the session, which every reader of JSON text sets here, so that
+    results don't depend on what ran before.
+    """
+    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return F.try_parse_json(col(text))
+
+
 def parse_object(body) -> Column:
     """Parsed JSON object; NULL for broken JSON and for other JSON values."""
-    return F.when(strip(body).startswith("{"), F.try_parse_json(col(body)))
+    return F.when(strip(body).startswith("{"), parse_json(body))
 
 
 def is_object(value: Column) -> Column:
@@ -84,10 +91,18 @@ def with_scalars(df: DataFrame, source: str, paths: dict[str, str]) -> DataFrame
         "_typed", "_texts", "_filled")
 
 
-def _repeated_keys_allowed(df: DataFrame) -> DataFrame:
-    """Sets the session to take JSON objects with repeated keys; the last value counts."""
-    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return df
+# --- captures ---------------------------------------------------------------------------
+
+def latest(captures: DataFrame, keys: list[str]) -> DataFrame:
+    """The last capture of each key by `captured_at` (where there is such a column), ties by a hash of its content.
+
+    A mergeable maximum: repeated captures are reduced before the shuffle, and a key with many of them is no
+    large task. The result lies by the keys for a join that follows.
+    """
+    rest = [c for c in captures.columns if c not in keys]
+    when = [F.col("captured_at")] if "captured_at" in rest else []
+    order = F.struct(*when, F.xxhash64(*rest).alias("h"), F.xxhash64(F.lit(1), *rest).alias("h2"))
+    return captures.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last")).select(*keys, "_last.*")
 
 
 # --- listing pages ----------------------------------------------------------------------
@@ -98,17 +113,14 @@ def listing_handles(listing: DataFrame) -> DataFrame:
     Reading stops at a collection's first page without products. That page is one small row for
     each collection, found with partial minima; the bodies explode in place.
     """
-    paged = _repeated_keys_allowed(listing).where("page >= 1").select(
-        "store_url", "collection", "page",
-        json_get(F.try_parse_json("body"), "$.products", "array<variant>").alias("products"))
-    is_end = F.coalesce(F.size("products"), F.lit(0)) <= 0
-    ends = paged.where(is_end).groupBy("store_url", "collection").agg(F.min("page").alias("_end"))
-    open_pages = paged.join(ends, ["store_url", "collection"], "left").where("_end IS NULL OR page < _end")
-    handles = open_pages.select(
-        "store_url", "collection", "page", F.posexplode("products").alias("idx", "p"))
-    return handles.select(
-        "store_url", "collection", "page", "idx",
-        filled_text(json_get("p", "$.handle")).alias("handle")).where("handle <> ''")
+    products = json_get(parse_json("body"), "$.products", "array<variant>")
+    # Bodies are parsed once; from here on rows hold a place and a handle, and a page without products one row.
+    listed = settle(listing.where("page >= 1").select(
+        "store_url", "collection", "page", F.posexplode_outer(products).alias("idx", "p")).select(
+        "store_url", "collection", "page", "idx", filled_text(json_get("p", "$.handle")).alias("handle")), "listed")
+    ends = listed.where("idx IS NULL").groupBy("store_url", "collection").agg(F.min("page").alias("_end"))
+    return listed.where("handle <> ''").join(ends, ["store_url", "collection"], "left").where(
+        "idx IS NOT NULL AND (_end IS NULL OR page < _end)").drop("_end")
 
 
 def is_catalogue_response(status, content_type, body) -> Column:
@@ -288,12 +300,17 @@ def product_drafts(detail: DataFrame, keep: list[str]) -> DataFrame:
 # --- crawl ------------------------------------------------------------------------------
 
 def join_listing_detail(handles: DataFrame, detail: DataFrame) -> DataFrame:
-    """Listed handles with their payload: adds product, status, is_uk and `error`.
+    """Listed handles with their payload: adds product, variant_count, status, is_uk and `error`.
 
-    The join key is (store, handle), so even one huge store spreads over all tasks.
+    Of several captures of a product the last one counts. The join key is (store, handle), so even one huge store
+    spreads over all tasks; captures are reduced, parsed and joined in one place.
     """
-    payload = parse_products(detail).select(
-        "store_url", "handle", "status", "is_uk", "product", F.lit(True).alias("_captured"))
+    keys = ["store_url", "handle"]
+    kept = [*keys, "status", "is_uk", "body"] + ["captured_at"] * ("captured_at" in detail.columns)
+    payload = parse_products(latest(detail.select(*kept), keys)).select(
+        *keys, "status", "is_uk", "product",
+        F.greatest(F.coalesce(F.size(json_get("product", "$.variants", "array<variant>")), F.lit(1)), F.lit(1))
+        .alias("variant_count"), F.lit(True).alias("_captured"))
     url = F.concat("store_url", F.lit("/products/"), "handle", F.lit(".js"))
     error = (
         F.when(F.col("_captured").isNull(), F.concat(F.lit("Request failed for "), url))
@@ -302,8 +319,7 @@ def join_listing_detail(handles: DataFrame, detail: DataFrame) -> DataFrame:
         .when(F.col("product").isNull(),
               F.concat(F.lit("Invalid product.js for '"), "handle", F.lit("'"))))
     message = F.concat(F.lit("Failed product '"), "handle", F.lit("': "), error)
-    return handles.join(payload, ["store_url", "handle"], "left").withColumn(
-        "error", message).drop("_captured")
+    return handles.join(payload, keys, "left").withColumn("error", message).drop("_captured")
 
 
 def crawl_drafts(joined: DataFrame) -> DataFrame:
@@ -320,8 +336,7 @@ def crawl_errors(joined: DataFrame) -> DataFrame:
 
 def crawl_summary(joined: DataFrame) -> DataFrame:
     """(store_url, row_count, error_count, failure) per store, all from one pre-aggregation."""
-    variants = json_get("product", "$.variants", "array<variant>")
-    rows = F.when(F.col("error").isNull(), F.greatest(F.coalesce(F.size(variants), F.lit(1)), F.lit(1)))
+    rows = F.when(F.col("error").isNull(), F.col("variant_count"))
     counts = joined.groupBy("store_url").agg(
         F.coalesce(F.sum(rows), F.lit(0)).alias("row_count"),
         F.count("error").alias("error_count"))
@@ -333,16 +348,18 @@ def crawl_summary(joined: DataFrame) -> DataFrame:
 def drafts_to_feed(drafts: DataFrame) -> DataFrame:
     """Drafts as `feed_rows`-like rows (feed_id, pos, cells), cells in draft column order.
 
-    `pos` holds page, place on the page and variant in 21 bits each; a number beyond that ends the
-    job with a message, since positions would collide.
+    `pos` is the exact place in the feed, from 0, by page, place on the page and variant. It is made of two running
+    ranks: the rows of earlier pages, from counts, and the place within the page.
     """
-    parts = [F.col(c).cast("bigint") for c in ("page", "idx", "variant_idx")]
-    pos = F.when(F.greatest(*parts) < 1 << VARIANT_BITS, F.shiftleft(parts[0], 2 * VARIANT_BITS) + F.shiftleft(
-        parts[1], VARIANT_BITS) + parts[2]).otherwise(F.raise_error(F.lit("position beyond 21 bits")).cast("bigint"))
-    return drafts.select(
-        F.concat_ws("/collections/", "store_url", "collection").alias("feed_id"),
-        pos.alias("pos"),
-        F.array(*[or_blank(c) for c in DRAFT_COLUMNS]).alias("cells"))
+    feed = F.concat_ws("/collections/", "store_url", "collection")
+    rows = drafts.withColumn("_feed", feed)
+    counts = rows.groupBy("_feed", "page").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy("_feed").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("_feed", "page", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    place = F.row_number().over(W.partitionBy("_feed", "page").orderBy("idx", "variant_idx"))
+    cells = F.array(*[or_blank(c) for c in DRAFT_COLUMNS])
+    return rows.withColumn("_place", place).join(starts, ["_feed", "page"]).select(
+        F.col("_feed").alias("feed_id"), (F.col("_start") + F.col("_place") - 1).alias("pos"), cells.alias("cells"))
 
 
 def draft_headers(feed_rows: DataFrame) -> DataFrame:

@@ -271,8 +271,7 @@ def _variant_json() -> Column:
 def product_payloads(spark, sf) -> DataFrame:
     """(store_url, handle, status, is_uk, body): one payload per order, lineitems as variants.
 
-    Types vary as they do in the wild. Some bodies are broken, some answers are errors and some
-    handles have no payload.
+    Types vary as they do in the wild. Some bodies are broken and some answers are errors.
     """
     o = F.col("o_orderkey")
     no, url = _order_store()
@@ -299,7 +298,7 @@ def product_payloads(spark, sf) -> DataFrame:
             o % 4 == 3, '["//cdn/l.jpg", "//cdn/m.jpg"]'),
         price=F.round(F.col("o_totalprice") * 100).cast("bigint").cast("string"),
         variants=F.concat(F.lit("["), F.coalesce("variants", F.lit("")), F.lit("]")))
-    joined = table(spark, sf, "orders").where(o % 47 != 0).join(
+    joined = table(spark, sf, "orders").join(
         variants, F.col("l_orderkey") == o, "left")
     return joined.select(
         url.alias("store_url"), F.concat(F.lit("p-"), o.cast("string")).alias("handle"),
@@ -307,6 +306,16 @@ def product_payloads(spark, sf) -> DataFrame:
         F.when(o % 41 == 0, '{"title": ').otherwise(body).alias("body"))
 
 
+def captured_payloads(spark, sf) -> DataFrame:
+    """Payloads as a crawl landed them, with `captured_at`: some handles have none, some an older capture too."""
+    key = F.substring("handle", 3, 20).cast("bigint")
+    rows = product_payloads(spark, sf).where(key % 47 != 0)
+    old = F.struct(F.lit("2024-01-01").alias("captured_at"), F.lit(200).alias("status"), F.lit('{"title": "Old"}').alias("body"))
+    new = F.struct(F.lit("2024-02-01").alias("captured_at"), "status", "body")
+    return rows.select("store_url", "handle", "is_uk", F.inline(
+        F.when(key % 10 == 0, F.array(new, old, new)).otherwise(F.array(new))))
+
+
 def probe_answers(spark, sf) -> DataFrame:
     """(custkey, status, content_type, body): answers of stores to a catalogue probe."""
     k = F.col("c_custkey")

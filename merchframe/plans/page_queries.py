@@ -35,7 +35,8 @@ _LD = f"""'part-' || p_partkey AS page_id, p_name AS title, 'About, ' || p_type
 _LONG = "'A paragraph of more than fifty characters about ' || p_name || ' & co.'"
 # Titles of the crawled pages hold entities but no tags.
 _TEXT = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
-_H1 = "trim(" + _TEXT.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)") + ")"
+# A title may be cut within its last entity.
+_H1 = "regexp_replace(trim(" + _TEXT.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)") + "), '&amp$', '&')"
 
 register("jsonld_blocks", lambda spark, sf: _parsed(spark, sf).select(
     "page_id", F.size(pages.jsonld_blocks(page_col())).alias("blocks")), """
@@ -63,9 +64,15 @@ register("html_price", lambda spark, sf: _parsed(spark, sf).select(
     "page_id", pages.html_price(page_col()).alias("price")), f"""
 SELECT 'part-' || p_partkey AS page_id, CASE WHEN p_partkey % 4 = 2 THEN '1' || {_PRICE} ELSE '' END AS price FROM part
 UNION ALL SELECT 'page-' || page_id, '' FROM pages""")
-register("html_description", lambda spark, sf: pages.parse_pages(I.product_pages(spark, sf)).select(
+# Paragraphs of the crawled pages' articles; some paragraphs and articles are never closed.
+_PARAGRAPHS = """list_transform(string_split(split_part(split_part(html, '<article>', 2), '</article>', 1), '<p>')[2:],
+  lambda x: split_part(x, '</p>', 1))"""
+_PLAIN = "trim(" + _TEXT.format("regexp_replace(x, '<[^>]*>', '', 'g')") + ")"
+_PAGE_P = f"coalesce(list_filter(list_transform({_PARAGRAPHS}, lambda x: {_PLAIN}), lambda t: length(t) > 50)[1], '')"
+register("html_description", lambda spark, sf: _parsed(spark, sf).select(
     "page_id", pages.html_description(page_col()).alias("description")), f"""
-SELECT 'part-' || p_partkey AS page_id, CASE WHEN p_partkey % 4 = 2 THEN {_LONG} ELSE '' END AS description FROM part""")
+SELECT 'part-' || p_partkey AS page_id, CASE WHEN p_partkey % 4 = 2 THEN {_LONG} ELSE '' END AS description FROM part
+UNION ALL SELECT 'page-' || page_id, {_PAGE_P} FROM pages""")
 register("html_image", lambda spark, sf: _parsed(spark, sf).select(
     "page_id", pages.html_image(page_col()).alias("image")), """
 SELECT 'part-' || p_partkey AS page_id,
@@ -74,10 +81,7 @@ UNION ALL SELECT 'page-' || page_id, '' FROM pages""")
 
 
 def extract_cascade(spark, sf):
-    found = pages.extract_products(I.all_product_pages(spark, sf), "page_id")
-    # Long paragraphs of crawled pages have no SQL twin; html_description covers the rule.
-    plain = F.when(F.col("page_id").startswith("page-"), "").otherwise(F.col("Description"))
-    return found.withColumn("Description", plain).select(
+    return pages.extract_products(I.all_product_pages(spark, sf), "page_id").select(
         "page_id", "strategy", *[F.col(f"`{n}`").alias(_snake(n)) for n in pages.FIELDS], "error")
 
 
@@ -94,7 +98,7 @@ SELECT 'part-' || p_partkey AS page_id, {pick(['JSON-LD', 'Open Graph', 'Generic
   CASE h WHEN 3 THEN 'Could not extract product data. The page may not be a product listing or may block scrapers.' END
     AS error
 FROM (SELECT *, p_partkey % 4 AS h FROM part)
-UNION ALL SELECT 'page-' || page_id, '', 'Generic HTML', {_H1}, '', '', '', '', '', NULL FROM pages""".replace(
+UNION ALL SELECT 'page-' || page_id, '', 'Generic HTML', {_H1}, {_PAGE_P}, '', '', '', '', NULL FROM pages""".replace(
     "SELECT 'part-'", "SELECT * EXCLUDE (s) FROM (SELECT 'part-'", 1) + ")")
 
 # --- static signals ---------------------------------------------------------------------

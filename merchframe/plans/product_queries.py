@@ -243,7 +243,7 @@ WITH {_LISTED} SELECT store_url, 'all' AS collection, page, idx, handle FROM han
 register("scan_product_json", lambda spark, sf: payloads.parse_products(I.product_payloads(spark, sf)).select(
     "store_url", "handle", F.col("product").isNotNull().alias("is_valid")), f"""
 SELECT {_URL} AS store_url, 'p-' || o_orderkey AS handle, o_orderkey % 41 <> 0 AS is_valid
-FROM orders WHERE o_orderkey % 47 <> 0""")
+FROM orders""")
 register("validate_catalogue_payload", lambda spark, sf: I.probe_answers(spark, sf).select(
     "custkey", payloads.is_catalogue_response("status", "content_type", "body").alias("is_catalogue")), """
 SELECT c_custkey AS custkey, c_custkey % 6 IN (0, 1, 5) AND NOT (
@@ -280,7 +280,7 @@ WITH {_CRAWL} SELECT k, host <> '' AND k % 4 IN (0, 3) AS is_uk FROM v WHERE err
 
 def _joined_crawl(spark, sf):
     return payloads.join_listing_detail(
-        payloads.listing_handles(I.listing_pages(spark, sf)), I.product_payloads(spark, sf))
+        payloads.listing_handles(I.listing_pages(spark, sf)), I.captured_payloads(spark, sf))
 
 
 _ERR = """CASE WHEN o_orderkey % 47 = 0 THEN 'Request failed for ' || store_url || '/products/' || handle || '.js'
@@ -360,11 +360,11 @@ def pick_image(spark, sf):
 register("pick_image", pick_image, f"""
 SELECT {_URL} AS store_url, 'p-' || o_orderkey AS handle,
   {pick(['https://cdn/f.jpg', 'https://cdn/s.jpg', 'https://cdn/i.jpg', 'https://cdn/l.jpg'], 'o_orderkey')} AS image
-FROM orders WHERE o_orderkey % 47 <> 0 AND o_orderkey % 41 <> 0""")
+FROM orders WHERE o_orderkey % 41 <> 0""")
 
 
 def to_major_units(spark, sf):
-    value = payloads.json_get(F.try_parse_json("props"), "$.k")
+    value = payloads.json_get(payloads.parse_json("props"), "$.k")
     whole = values.to_major_units(payloads.json_kind(value), payloads.as_text(value))
     text = F.format_string("%.2f", "value")
     return I.table(spark, sf, "events").select(
@@ -386,7 +386,7 @@ def drafts_to_feed(spark, sf):
 _CELLS = "[" + ", ".join(S.DRAFT_COLUMNS) + "]"
 register("drafts_to_feed", drafts_to_feed, f"""WITH {_MADE}
 SELECT store_url || '/collections/all' AS feed_id,
-  (CAST(page AS BIGINT) * {2 ** payloads.VARIANT_BITS} + idx) * {2 ** payloads.VARIANT_BITS} + variant_idx AS pos,
+  row_number() OVER (PARTITION BY store_url ORDER BY page, idx, variant_idx) - 1 AS pos,
   array_to_string({_CELLS}, '~') AS cells FROM drafts""")
 
 
@@ -394,7 +394,7 @@ def crawl_products(spark, sf):
     """Crawled stores all the way to product rows."""
     feed = settle(payloads.drafts_to_feed(payloads.crawl_drafts(_joined_crawl(spark, sf))), "drafts")
     mapped = mapping.map_feeds(payloads.draft_headers(feed))
-    rows = products.generate(feed, mapped, bits=payloads.CRAWL_BLOCK_BITS)
+    rows = products.generate(feed, mapped)
     return rows.select("feed_id", "pos", *[F.col(f"`{t}`").alias(snake(t)) for t in (
         "Title", "URL handle", "Option1 name", "Option1 value", "Option2 name", "Price",
         "Inventory quantity", "Product image URL", "Status")])
@@ -408,6 +408,6 @@ f AS (SELECT *, last_value(nullif(title, '') IGNORE NULLS) OVER w AS t,
     OVER w END AS n2 FROM drafts
   WINDOW w AS (PARTITION BY store_url, page, idx ORDER BY variant_idx))
 SELECT store_url || '/collections/all' AS feed_id,
-  (CAST(page AS BIGINT) * {2 ** payloads.VARIANT_BITS} + idx) * {2 ** payloads.VARIANT_BITS} + variant_idx AS pos,
+  row_number() OVER (PARTITION BY store_url ORDER BY page, idx, variant_idx) - 1 AS pos,
   title, url_handle, n1 AS option1_name, option1_value, n2 AS option2_name, price, inventory_quantity,
   product_image_url, status FROM f""")
