@@ -83,13 +83,18 @@ def _hot_class(classes: list[int]) -> int:
 def _tokens(line: Column, classes: Column) -> Column:
     """Distinct tokens as numbers that sort by rarity: frequency class above 57 bits of a hash."""
     hashes = F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w))
-    return F.sort_array(F.transform(F.array_distinct(hashes), lambda h: F.get(
-        classes, h.bitwiseAND(F.lit(FREQUENCY_SLOTS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << 57) - 1)))))
+
+    def numbered(h):
+        slot = h.bitwiseAND(F.lit(FREQUENCY_SLOTS - 1)).cast("int")
+        rarity = F.ascii(F.substring(classes, slot + 1, F.lit(1)).cast("string")).cast("long")
+        return F.shiftleft(rarity, 57).bitwiseOR(h.bitwiseAND(F.lit((1 << 57) - 1)))
+
+    return F.sort_array(F.transform(F.array_distinct(hashes), numbered))
 
 
 def _table(classes: list[int]) -> Column:
-    """The classes as a literal, moved above the 57 bits of a hash."""
-    return F.split(F.lit(",".join(str(c << 57) for c in classes)), ",").cast("array<bigint>")
+    """The classes as a binary literal of a byte for each slot, so that plans stay small in the driver."""
+    return F.lit(bytearray(classes))
 
 
 def _bitmap(odd: int) -> Column:
