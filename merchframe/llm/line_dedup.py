@@ -200,16 +200,25 @@ def repeated_lines(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
     """`docs` without repeated lines of `least` tokens or more: text holds the lines that stay, n_chars
-    (if a column) its length, n_lines and n_removed count lines. Every row stays, also one that loses
-    all its lines; a null text stays null."""
+    (if a column) its length, n_removed counts the lines that went (in place of a column of that name). Every
+    row stays, also one that loses all its lines; a null text stays null. Other columns may have any name."""
     gone = settle(repeated_lines(docs, least), "repeated-lines")
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name):
+        while name in taken:
+            name += "_"
+        return name
+
+    doc, version, numbers = free("_doc"), free("_version"), free("_lines")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_lines", i)), "\n")
-    out = (docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(2**63 - 1)), "_version": F.xxhash64("text")})
-           .join(small_side(gone.select(F.col("doc").alias("_doc"), F.col("version").alias("_version"),
-                                        F.col("lines").alias("_lines"))), ["_doc", "_version"], "left"))
-    out = out.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept))
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(numbers, i)), "\n")
+    out = (docs.withColumns({doc: F.coalesce("doc_id", F.lit(2**63 - 1)), version: F.xxhash64("text")})
+           .join(small_side(gone.select(F.col("doc").alias(doc), F.col("version").alias(version),
+                                        F.col("lines").alias(numbers))), [doc, version], "left"))
+    out = out.withColumn("text", F.when(F.col(numbers).isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_lines").isNull(), F.col("n_chars")).otherwise(
+        out = out.withColumn("n_chars", F.when(F.col(numbers).isNull(), F.col("n_chars")).otherwise(
             F.length("text").cast("long")))
-    return out.select(*docs.columns, F.coalesce(F.size("_lines"), F.lit(0)).alias("n_removed"))
+    return out.select(*[c for c in docs.columns if c.lower() != "n_removed"],
+                      F.coalesce(F.size(numbers), F.lit(0)).alias("n_removed"))

@@ -65,3 +65,12 @@ def test_query_and_pipeline_pass_every_line(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     for df in (queries.QUERIES["op4_line_dedup"](spark, str(tmp_path)), corpus_pipeline.dedup_lines(spark, docs, "")):
         assert {r.doc_id: r.text for r in df.collect()} == {1: "All rights reserved.\nx", 2: "y"}
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "one two three four five six\nown line", 7, "a", [1], "v"), (2, "one two three four five six\nother", 8, "b", [2], "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, _doc string, _lines array<int>, _Version string")
+    out = line_dedup.dedup_lines(docs, least=1)
+    assert out.columns == ["doc_id", "text", "_doc", "_lines", "_Version", "n_removed"]
+    got = {r.doc_id: tuple(r) for r in out.collect()}
+    assert got == {1: (1, rows[0][1], "a", [1], "v", 0), 2: (2, "other", "b", [2], "w", 1)}
