@@ -16,6 +16,7 @@ added unless a plain span of its kind covers it.
 """
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -24,7 +25,8 @@ from merchframe.llm.common import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# A match that begins inside a run of digits also begins at the run's first digit, so only that one is tried.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -51,7 +53,8 @@ _DIGIT, _PLUS, _DOT = ("|".join(words) for words in (
 _SPELLED = re.compile(
     rf"(?i)(?<![^\W_])(?:(?:{_PLUS})[\s-]+)?(?:{_DIGIT})(?:[\s,-]+(?:(?:{_DOT})[\s,-]+)?(?:{_DIGIT})){{3,}}(?![^\W_])")
 _SPELLED_PART = re.compile(r"(?i)[^\W\d_]+")
-_MARKED = re.compile(r"(?i)[\x20\t]*[(\[{<][\x20\t]*(at|dot|punkt|punto|point)[\x20\t]*[)\]}>][\x20\t]*")
+# Leading blanks are tried from the first of their run alone, which keeps long runs linear.
+_MARKED = re.compile(r"(?i)(?:(?<![\x20\t])[\x20\t]++)?[(\[{<][\x20\t]*+(at|dot|punkt|punto|point)[\x20\t]*+[)\]}>][\x20\t]*+")
 _BARE = re.compile(
     r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[A-Za-z0-9]([\x20]+at[\x20]+)[A-Za-z0-9-]+(?:(?:[\x20]+dot[\x20]+|\.)[A-Za-z0-9-]+)*?"
     r"(?:[\x20]+dot[\x20]+)(?:" + "|".join(ENDINGS) + ")(?![A-Za-z0-9])")
@@ -202,10 +205,12 @@ def all_spans(text: str) -> tuple[list, list]:
     if mapped.text is text or mapped.text == text:
         return plain, plain
     every = set(plain)
+    # Plain spans of a kind don't overlap: only the last one that starts early enough can cover a span.
+    known = {kind: [x for x in plain if x[2] == kind] for kind in KINDS}
     for s, e, kind in plain_spans(mapped.text):
         start, end = mapped.starts[s], mapped.ends[e - 1]
-        # An edit inside an identifier may not have eaten its first or last character.
-        if not any(k == kind and a <= start and end <= b for a, b, k in plain):
+        at = bisect_right(known[kind], start, key=lambda x: x[0])
+        if not at or known[kind][at - 1][1] < end:
             every.add((start, end, kind))
     return plain, sorted(every, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -242,7 +247,7 @@ def redacted(text: str) -> str:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, counts of plain spans by kind, `base` (plain spans) and
     `spans` (plain and disguised) as kind:start:end, comma-joined, in code points. A null text is
-    empty and has none."""
+    empty and has none; very long texts are scanned whole, in time linear in their length."""
     ship_package(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(
         _find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
