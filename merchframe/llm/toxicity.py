@@ -1,6 +1,7 @@
 """Toxicity of whole texts from their nearest labelled examples.
 
-1. A hash-drawn sample of labelled rows, MAX_EXAMPLES expected at most, is the example set.
+1. A hash-drawn sample of labelled rows, MAX_EXAMPLES expected at most, is the example set. It is drawn by
+   class: all rows of a class rarer than half of MAX_EXAMPLES stay.
 2. Terms are words and their beginnings of four to six letters. Those that speak for toxicity in
    the examples (likelihood ratio and lift) form the vocabulary, at most MAX_TERMS.
 3. Inverse document frequencies of these terms are counted over all documents.
@@ -8,7 +9,7 @@
    block of examples. A text visits blocks by falling upper bound and stops when no block can
    improve its nearest NEIGHBOURS, so the neighbours are exact by TF-IDF cosine.
 5. The votes of the neighbours count by cosine distance. Votes of the examples themselves, each
-   without itself, calibrate the score by a monotone fit. A text without any term takes the
+   without itself, calibrate the score by a monotone fit on single votes. A text without any term takes the
    smoothed rate of the examples without any.
 
 What is broadcast is bounded by MAX_EXAMPLES and MAX_TERMS.
@@ -134,15 +135,17 @@ class BlockMaxIndex:
 class Model:
     """Vocabulary, weights, index and calibration; all of bounded size."""
 
-    def __init__(self, terms, idf, examples, prior):
+    def __init__(self, terms, idf, examples, prior, counts=(1.0, 1.0)):
         self.vocabulary, self.idf, self.prior = Vocabulary(terms), np.array(idf), prior
         vectors = [self.vector(t) for _, _, t in examples]
         none = [y for (_, y, _), v in zip(examples, vectors) if not v]
-        self.without = (sum(none) + prior) / (len(none) + 1.0)
+        weight = sum(counts[y] for y in none)
+        self.without = _rate((0.0, sum(none) * counts[1], weight, len(none)), prior) if none else prior
         some = [(i, y, v) for (i, y, _), v in zip(examples, vectors) if v]
         self.index = BlockMaxIndex(*([x[k] for x in some] for k in range(3)), len(terms))
         votes = np.array([self.vote(*self.index.nearest(v, but=i)) for i, _, v in some])
-        self.knots = _monotone(votes, np.array([float(y) for _, y, _ in some]), prior)
+        own = np.array([y for _, y, _ in some], np.int64)
+        self.knots = _monotone(votes, own.astype(float), np.array(counts)[own], prior)
 
     def vector(self, text) -> dict:
         counts = self.vocabulary.counts(text)
@@ -166,19 +169,31 @@ class Model:
         return value, [int(x) for x in self.index.ids[found]], [float(c) for c in cosines]
 
 
-def _monotone(votes, labels, prior):
-    """Knots of a rising map from votes to rates: pooled bins of the sorted votes."""
+def _monotone(votes, labels, counts, prior):
+    """Knots of a rising map from votes to rates: adjacent single votes are pooled until the rates rise.
+
+    `counts` says how many labelled rows an example stands for. A pool's rate is shrunk to the prior by one row;
+    equal votes share a pool, and no pool depends on how many examples there are.
+    """
     if not len(votes):
         return [0.0, 1.0], [prior, prior]
-    order = np.argsort(votes, kind="stable")
+    single, where = np.unique(votes, return_inverse=True)
+    n = np.bincount(where, counts)
+    toxic = np.bincount(where, labels * counts)
+    rows = np.bincount(where)
     pools = []
-    for part in np.array_split(order, max(1, min(20, len(order) // 50))):
-        pools.append([votes[part].mean(), labels[part].sum() + prior, len(part) + 1.0])
-        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-            v, y, n = pools.pop()
-            a = pools[-1]
-            pools[-1] = [(a[0] * a[2] + v * n) / (a[2] + n), a[1] + y, a[2] + n]
-    return [p[0] for p in pools], [p[1] / p[2] for p in pools]
+    for pool in zip(single * n, toxic, n, rows):
+        pools.append(pool)
+        while len(pools) > 1 and _rate(pools[-2], prior) >= _rate(pools[-1], prior):
+            last = pools.pop()
+            pools[-1] = tuple(a + b for a, b in zip(pools[-1], last))
+    return [p[0] / p[2] for p in pools], [_rate(p, prior) for p in pools]
+
+
+def _rate(pool, prior):
+    """Toxic share of a pool, shrunk by one row of the examples' mean count."""
+    _, toxic, n, rows = pool
+    return (toxic / n * rows + prior) / (rows + 1.0)
 
 
 def _ratio(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
@@ -190,20 +205,30 @@ def _ratio(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
                 + part(n_toxic - toxic, (1 - share) * n_toxic) + part(n_clean - clean, (1 - share) * n_clean))
 
 
+def _shares(n_clean: int, n_toxic: int) -> tuple[float, float]:
+    """Drawn shares of both classes: up to half of MAX_EXAMPLES each, more where the other class leaves room."""
+    half = MAX_EXAMPLES // 2
+    return tuple(min(1.0, max(half, MAX_EXAMPLES - other) / max(own, 1))
+                 for own, other in ((n_clean, n_toxic), (n_toxic, n_clean)))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from the labelled rows outside the held-out fold. Labels without a text, or null, don't count;
     several labels of one document count as one example each."""
     spark = docs.sparkSession
     usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(
         F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
-    n = usable.count()
-    share = min(1.0, MAX_EXAMPLES / max(n, 1))
-    drawn = usable.where(F.pmod(F.xxhash64("label_id", F.lit(3)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    labelled = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    shares = _shares(labelled.get(0, 0), labelled.get(1, 0))
+    drawn = usable.where(F.pmod(F.xxhash64("label_id", F.lit(3)), F.lit(1_000_000)) < F.when(
+        F.col("toxic") == 1, int(shares[1] * 1_000_000)).otherwise(int(shares[0] * 1_000_000)))
     sample = settle(docs.select("doc_id", "text").join(
         F.broadcast(drawn), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic"), "examples")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    prior = (n_toxic + 0.5) / (n_toxic + n_clean + 1.0)
+    # An example stands for as many labelled rows as its class was thinned out by.
+    counts = (1.0 / shares[0], 1.0 / shares[1])
+    prior = (n_toxic * counts[1] + 0.5) / (n_toxic * counts[1] + n_clean * counts[0] + 1.0)
     terms = []
     if n_toxic and n_clean:
         seen = sample.mapInPandas(_example_terms, "toxic int, term string").groupBy("term").agg(
@@ -234,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             pdf["text"] = [" ".join(w for w in _WORD.findall(t.lower()) if shared.value._of(w)) if t else "" for t in pdf["text"]]
             yield pdf
     examples = sample.mapInPandas(slim, "doc_id long, text string, toxic int").orderBy("doc_id", "text", "toxic").collect()
-    return Model(terms, idf, [(r["doc_id"], r["toxic"], r["text"]) for r in examples], prior)
+    return Model(terms, idf, [(r["doc_id"], r["toxic"], r["text"]) for r in examples], prior, counts)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
