@@ -178,6 +178,43 @@ def any_of(page: Column, test) -> Column:
     return F.coalesce(F.exists(page["nodes"], test), F.lit(False))
 
 
-def inside(node: Column, containers: Column) -> Column:
-    """The element lies inside one of the container elements."""
-    return F.exists(containers, lambda c: (c["idx"] < node["idx"]) & (node["idx"] <= c["last"]))
+def sweep_inside(page: Column, container, test) -> Column:
+    """struct(n, first): how many elements pass `test(element, inside)`, and idx of the first one.
+
+    `inside` says whether the element lies in an element that passes `container`. One walk over the page keeps the
+    furthest end of the containers met so far, so that time is linear however many there are.
+    """
+    start = F.struct(F.lit(-1).alias("until"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("first"))
+
+    def step(state, node):
+        hit = F.coalesce(test(node, node["idx"] <= state["until"]), F.lit(False))
+        return F.struct(
+            F.when(container(node), F.greatest(state["until"], node["last"])).otherwise(state["until"]).alias("until"),
+            (state["n"] + hit.cast("int")).alias("n"),
+            F.when(hit, F.coalesce(state["first"], node["idx"])).otherwise(state["first"]).alias("first"))
+    return F.aggregate(page["nodes"], start, step, lambda s: F.struct(s["n"].alias("n"), s["first"].alias("first")))
+
+
+def first_in_containers(page: Column, container, test) -> Column:
+    """idx of the first element that passes the test within the first container that holds one; without any
+    container on the page, of the first such element at all. NULL if there is none.
+
+    The page is walked from its end: at a container, the last match met is the first one behind its start, and a
+    container further in front takes the place of those behind it. So no container meets all elements.
+    """
+    none = F.lit(None).cast("int")
+    start = F.struct(none.alias("next"), none.alias("held"), F.lit(False).alias("boxed"))
+
+    def step(state, node):
+        box = F.coalesce(container(node), F.lit(False))
+        return F.struct(
+            F.when(F.coalesce(test(node), F.lit(False)), node["idx"]).otherwise(state["next"]).alias("next"),
+            F.when(box & (state["next"] <= node["last"]), state["next"]).otherwise(state["held"]).alias("held"),
+            (state["boxed"] | box).alias("boxed"))
+    return F.aggregate(F.reverse(page["nodes"]), start, step,
+                       lambda s: F.when(s["boxed"], s["held"]).otherwise(s["next"]))
+
+
+def at(page: Column, idx: Column) -> Column:
+    """The element with that idx; NULL for none."""
+    return F.get(page["nodes"], idx)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from merchframe.functions.html import (
-    attr, class_has, first, parse_html, select, text_of,
+    at, attr, class_has, first, first_in_containers, parse_html, select, text_of,
 )
 from merchframe.functions.jsonld import find_product, find_products
 from merchframe.functions.text import clean_value, col, contains_any, first_text, or_blank, strip
@@ -109,13 +109,10 @@ def html_price(page: Column) -> Column:
 
 def html_description(page: Column) -> Column:
     """First long paragraph, searched container by container when the page has containers."""
-    roots = select(page, lambda n: n["tag"].isin("main", "article") | class_has(n, "product"))
-    long = select(page, lambda n: (n["tag"] == "p") & (F.length(text_of(page, n)) > 50))
-    per_root = F.transform(roots, lambda r: F.get(F.filter(
-        long, lambda p: (r["idx"] < p["idx"]) & (p["idx"] <= r["last"])), F.lit(0)))
-    in_root = F.get(F.array_compact(per_root), F.lit(0))
-    chosen = F.when(F.size(roots) > 0, in_root).otherwise(F.get(long, F.lit(0)))
-    return or_blank(text_of(page, chosen))
+    chosen = first_in_containers(
+        page, lambda n: n["tag"].isin("main", "article") | class_has(n, "product"),
+        lambda n: (n["tag"] == "p") & (F.length(text_of(page, n)) > 50))
+    return or_blank(text_of(page, at(page, chosen)))
 
 
 def html_image(page: Column) -> Column:

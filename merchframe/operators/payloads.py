@@ -11,6 +11,10 @@ from merchframe.schema import (
 from merchframe.session import settle
 
 
+# What Spark's reader of JSON text takes: nesting, characters of one string, bytes of a parsed value.
+MAX_JSON_DEPTH, MAX_JSON_STRING, MAX_JSON_BYTES = 1_000, 20_000_000, 128 * 1024 * 1024
+
+
 # --- JSON values ------------------------------------------------------------------------
 
 def json_get(v, path: str, kind: str = "variant") -> Column:
@@ -36,8 +40,38 @@ def parse_json(text) -> Column:
 
 
 def parse_object(body) -> Column:
-    """Parsed JSON object; NULL for broken JSON and for other JSON values."""
-    return F.when(strip(body).startswith("{"), parse_json(body))
+    """Parsed JSON object; NULL for broken JSON, for other JSON values and for an object with text behind it.
+
+    Spark's reader stops at the end of the first value, so what follows it must be told by the last character.
+    """
+    text = strip(body)
+    return F.when(text.startswith("{") & text.endswith("}"), parse_json(body))
+
+
+def rejection(body, parsed: Column) -> Column:
+    """Why a body gave no object: `empty`, `not an object`, `too deep`, `too large` or `invalid`; NULL if it gave one.
+
+    Quotes that no backslash escapes cut a body into pieces, of which every second lies in a string. Brackets of the
+    others give the depth, and the longest of the strings is compared with what Spark's reader takes. A body that is
+    too deep or too large counts so also if it is broken too. Only rejected bodies are scanned.
+    """
+    text = strip(or_blank(body))
+    pieces = F.split(F.regexp_replace(text, r'(?s)\\u[0-9a-fA-F]{4}|\\.', "x"), '"', -1)
+    strings = F.filter(pieces, lambda s, i: i % 2 == 1)
+    marks = F.regexp_replace(F.array_join(F.filter(pieces, lambda s, i: i % 2 == 0), ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(state, mark):
+        now = state["now"] + F.when(mark.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+    depth = F.aggregate(F.split(marks, ""), start, step, lambda s: s["most"])
+    return (F.when(parsed.isNotNull(), F.lit(None).cast("string"))
+            .when(text == "", "empty")
+            .when(~text.startswith("{"), "not an object")
+            .when((F.length(marks) > MAX_JSON_DEPTH) & (depth > MAX_JSON_DEPTH), "too deep")
+            .when((F.octet_length(text) > MAX_JSON_BYTES)
+                  | F.exists(strings, lambda s: F.length(s) > MAX_JSON_STRING), "too large")
+            .otherwise("invalid"))
 
 
 def is_object(value: Column) -> Column:
@@ -134,8 +168,9 @@ def is_catalogue_response(status, content_type, body) -> Column:
 # --- product payloads -------------------------------------------------------------------
 
 def parse_products(detail: DataFrame) -> DataFrame:
-    """Add `product` (NULL where the body isn't a JSON object) to captured payloads."""
-    return detail.withColumn("product", parse_object("body"))
+    """Add `product` (NULL where the body isn't a JSON object) and `reason` (why it is NULL) to captured payloads."""
+    return detail.withColumn("product", parse_object("body")).withColumn(
+        "reason", rejection("body", F.col("product")))
 
 
 def single_html_string(text: Column, fragments: Column) -> Column:
@@ -293,14 +328,15 @@ def make_drafts(exploded: DataFrame, keep: list[str]) -> DataFrame:
 
 def product_drafts(detail: DataFrame, keep: list[str]) -> DataFrame:
     """Draft rows of captured payloads (handle, body, is_uk, ...); broken bodies are left out."""
-    good = parse_products(detail).where("product is not null").drop("body")
+    good = parse_products(detail).where("product is not null").drop("body", "reason")
     return make_drafts(explode_variants(product_scalars(good)), keep)
 
 
 # --- crawl ------------------------------------------------------------------------------
 
 def join_listing_detail(handles: DataFrame, detail: DataFrame) -> DataFrame:
-    """Listed handles with their payload: adds product, variant_count, status, is_uk and `error`.
+    """Listed handles with their payload: adds product, variant_count, status, is_uk, `error` and `reason`, which
+    tells a body that is too deep or too large from a broken one.
 
     Of several captures of a product the last one counts. The join key is (store, handle), so even one huge store
     spreads over all tasks; captures are reduced, parsed and joined in one place.
@@ -308,7 +344,7 @@ def join_listing_detail(handles: DataFrame, detail: DataFrame) -> DataFrame:
     keys = ["store_url", "handle"]
     kept = [*keys, "status", "is_uk", "body"] + ["captured_at"] * ("captured_at" in detail.columns)
     payload = parse_products(latest(detail.select(*kept), keys)).select(
-        *keys, "status", "is_uk", "product",
+        *keys, "status", "is_uk", "product", "reason",
         F.greatest(F.coalesce(F.size(json_get("product", "$.variants", "array<variant>")), F.lit(1)), F.lit(1))
         .alias("variant_count"), F.lit(True).alias("_captured"))
     url = F.concat("store_url", F.lit("/products/"), "handle", F.lit(".js"))
@@ -319,7 +355,9 @@ def join_listing_detail(handles: DataFrame, detail: DataFrame) -> DataFrame:
         .when(F.col("product").isNull(),
               F.concat(F.lit("Invalid product.js for '"), "handle", F.lit("'"))))
     message = F.concat(F.lit("Failed product '"), "handle", F.lit("': "), error)
-    return handles.join(payload, keys, "left").withColumn("error", message).drop("_captured")
+    # An error page is told by its status alone.
+    return handles.join(payload, keys, "left").withColumn("error", message).withColumn(
+        "reason", F.when(~F.coalesce(F.col("status") >= 400, F.lit(False)), F.col("reason"))).drop("_captured")
 
 
 def crawl_drafts(joined: DataFrame) -> DataFrame:
@@ -331,7 +369,7 @@ def crawl_drafts(joined: DataFrame) -> DataFrame:
 def crawl_errors(joined: DataFrame) -> DataFrame:
     """One row per failed product; kept as rows, since a store's list has no size bound."""
     return joined.where("error is not null").select(
-        "store_url", "collection", "page", "idx", "handle", "error")
+        "store_url", "collection", "page", "idx", "handle", "error", "reason")
 
 
 def crawl_summary(joined: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ data-visible.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from merchframe.functions.html import (
-    any_of, attr, body_text, class_has, class_is, first, has_attr, inside, parse_html, select,
-    text_of,
+    any_of, at, attr, body_text, class_has, class_is, first, has_attr, parse_html, select,
+    sweep_inside, text_of,
 )
 from merchframe.functions.text import (
     col, contains_any, first_text, first_word_found, or_blank, strip,
@@ -76,14 +76,14 @@ def h1_text(page: Column) -> Column:
 
 
 def hero_cta_count(page: Column) -> Column:
-    zones = select(page, lambda n: class_has(n, "hero", "banner"))
-    return F.size(select(page, lambda n: (n["tag"] == "button") | class_is(n, "btn") | (
-        (n["tag"] == "a") & (class_is(n, "button") | inside(n, zones)))))
+    return sweep_inside(
+        page, lambda n: class_has(n, "hero", "banner"),
+        lambda n, zoned: (n["tag"] == "button") | class_is(n, "btn") | (
+            (n["tag"] == "a") & (zoned | class_is(n, "button"))))["n"]
 
 
 def nav_link_count(page: Column) -> Column:
-    bars = select(page, _tag("nav", "header"))
-    return F.size(select(page, lambda n: (n["tag"] == "a") & inside(n, bars)))
+    return sweep_inside(page, _tag("nav", "header"), lambda n, barred: (n["tag"] == "a") & barred)["n"]
 
 
 def announcement_bar(page: Column) -> Column:
@@ -133,11 +133,10 @@ def _label(page: Column, n: Column) -> Column:
 
 def desktop_atc(page: Column) -> Column:
     """Add-to-cart element by selector, else by its text; NULL when there is none."""
-    forms = select(page, lambda n: (n["tag"] == "form") & attr(n, "action").contains("/cart/add"))
-    by_selector = first(page, lambda n: (
-        ((n["tag"] == "button") & ((attr(n, "name") == "add") | class_has(n, "atc")
-                                   | inside(n, forms)))
-        | class_has(n, "add-to-cart") | class_is(n, "product-form__submit")))
+    by_selector = at(page, sweep_inside(
+        page, lambda n: (n["tag"] == "form") & attr(n, "action").contains("/cart/add"),
+        lambda n, formed: (((n["tag"] == "button") & (formed | (attr(n, "name") == "add") | class_has(n, "atc")))
+                           | class_has(n, "add-to-cart") | class_is(n, "product-form__submit")))["first"])
     clickable = lambda n: n["tag"].isin("button", "a") | (
         (n["tag"] == "input") & (F.lower(attr(n, "type")) == "submit"))
     by_text = first(page, lambda n: clickable(n) & _visible(n) & _label(page, n).rlike(

@@ -316,6 +316,19 @@ def captured_payloads(spark, sf) -> DataFrame:
         F.when(key % 10 == 0, F.array(new, old, new)).otherwise(F.array(new))))
 
 
+def odd_payloads(spark, sf) -> DataFrame:
+    """(handle, body) of every order: nested too deep, cut off, a list, blank, brackets within a string, such a string
+    cut off, or sound."""
+    k = F.col("o_orderkey").cast("string")
+    many = F.repeat(F.lit("["), F.lit(1200))
+    bodies = [F.concat(F.lit('{"a": '), many, k, F.repeat(F.lit("]"), F.lit(1200)), F.lit("}")),
+              F.concat(F.lit('{"title": "'), k), F.concat(F.lit("["), k, F.lit("]")), F.lit(" "),
+              F.concat(F.lit('{"a": "\\"'), many, k, F.lit('"}')), F.concat(F.lit('{"a": "'), many, k),
+              F.concat(F.lit(' {"a": [['), k, F.lit("]]} "))]
+    body = F.get(F.array(*bodies), (F.col("o_orderkey") % len(bodies)).cast("int"))
+    return table(spark, sf, "orders").select(F.concat(F.lit("p-"), k).alias("handle"), body.alias("body"))
+
+
 def probe_answers(spark, sf) -> DataFrame:
     """(custkey, status, content_type, body): answers of stores to a catalogue probe."""
     k = F.col("c_custkey")

@@ -244,6 +244,10 @@ register("scan_product_json", lambda spark, sf: payloads.parse_products(I.produc
     "store_url", "handle", F.col("product").isNotNull().alias("is_valid")), f"""
 SELECT {_URL} AS store_url, 'p-' || o_orderkey AS handle, o_orderkey % 41 <> 0 AS is_valid
 FROM orders""")
+register("rejected_payloads", lambda spark, sf: payloads.parse_products(I.odd_payloads(spark, sf)).select(
+    "handle", "reason"), f"""
+SELECT 'p-' || o_orderkey AS handle, nullif({pick(['too deep', 'invalid', 'not an object', 'empty', '', 'invalid', ''], 'o_orderkey')}, '')
+  AS reason FROM orders""")
 register("validate_catalogue_payload", lambda spark, sf: I.probe_answers(spark, sf).select(
     "custkey", payloads.is_catalogue_response("status", "content_type", "body").alias("is_catalogue")), """
 SELECT c_custkey AS custkey, c_custkey % 6 IN (0, 1, 5) AND NOT (
@@ -332,7 +336,8 @@ register("join_listing_detail", lambda spark, sf: _joined_crawl(spark, sf).selec
     "store_url", "page", "idx", "handle", "error"), f"""WITH {_LISTED}
 SELECT store_url, page, idx, handle, 'Failed product ''' || handle || ''': ' || {_ERR} AS error FROM handles""")
 register("crawl_errors", lambda spark, sf: payloads.crawl_errors(_joined_crawl(spark, sf)), f"""WITH {_LISTED}
-SELECT store_url, 'all' AS collection, page, idx, handle, 'Failed product ''' || handle || ''': ' || {_ERR} AS error
+SELECT store_url, 'all' AS collection, page, idx, handle, 'Failed product ''' || handle || ''': ' || {_ERR} AS error,
+  CASE WHEN o_orderkey % 47 <> 0 AND o_orderkey % 43 <> 0 THEN 'invalid' END AS reason
 FROM handles WHERE {_ERR} IS NOT NULL""")
 register("crawl_summary", lambda spark, sf: payloads.crawl_summary(_joined_crawl(spark, sf)), f"""
 WITH {_MADE}, c AS (SELECT store_url, count(*) AS row_count FROM drafts GROUP BY store_url),

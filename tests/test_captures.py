@@ -96,3 +96,27 @@ def test_selected_sheet_to_rows(spark):
     sheets = spark.createDataFrame(rows, "feed_id string, sheet_idx int, sheet string, pos bigint, cells array<string>")
     out = products.generate_feeds(feeds.read_selected_sheet(sheets)).collect()
     assert [(r.Title, r.Price) for r in out] == [("Ring", "5")]
+
+
+def test_reasons_of_rejection(spark):
+    deep = lambda n: '{"a": ' + "[" * (n - 1) + "]" * (n - 1) + "}"
+    bodies = {
+        deep(1000): None, deep(1001): "too deep", deep(1001)[:-3]: "too deep", deep(1000)[:-3]: "invalid",
+        '{"a": "' + "[{" * 3000 + '"}': None, '{"a": "' + "[{" * 3000: "invalid", '{"a": "\\\\"' + "[" * 3000: "too deep",
+        '{"a": "\\"' + "[" * 3000: "invalid", '{"\\u005b": [' + "[],[{}]," * 900 + "1]}": None,
+        '{"a": [' + "[],[{}]," * 900 + "}": "invalid", "": "empty", " \n": "empty", None: "empty", "[]": "not an object",
+        "<html>": "not an object", '"{}"': "not an object", "{}": None, "{" * 999: "invalid", "}" * 2000: "not an object",
+        '{"a": 1} <!-- cached -->': "invalid", '{"a": 1};': "invalid", ' {"a": 1}\n': None, '{"a": 1, "a": 2}': None}
+    rows = spark.createDataFrame([("s", "h", b, k) for k, b in enumerate(bodies)], "store_url string, handle string, body string, k int")
+    got = {r.k: (r.reason, r.good) for r in payloads.parse_products(rows).select(
+        "k", "reason", F.col("product").isNotNull().alias("good")).collect()}
+    for k, (body, reason) in enumerate(bodies.items()):
+        assert got[k] == (reason, reason is None), (body or "")[:40]
+    big = spark.range(1).select(F.concat(F.lit('{"a": "'), F.repeat(F.lit("x"), F.lit(20_000_001)), F.lit('"}')).alias("body"))
+    assert payloads.parse_products(big).select("reason").first()[0] == "too large"
+    detail = spark.createDataFrame([("s", "a", 200, True, deep(1200)), ("s", "b", 404, True, "x"), ("s", "c", None, True, None),
+                                    ("s", "e", 200, True, "{}")], DETAIL)
+    handles = spark.createDataFrame([("s", "x", 1, i, h) for i, h in enumerate("abcde")],
+                                    "store_url string, collection string, page int, idx int, handle string")
+    errors = {r.handle: r.reason for r in payloads.crawl_errors(payloads.join_listing_detail(handles, detail)).collect()}
+    assert errors == {"a": "too deep", "b": None, "c": "empty", "d": None}
