@@ -145,7 +145,8 @@ class Model:
         self.index = BlockMaxIndex(*([x[k] for x in some] for k in range(3)), len(terms))
         votes = np.array([self.vote(*self.index.nearest(v, but=i)) for i, _, v in some])
         own = np.array([y for _, y, _ in some], np.int64)
-        self.knots = _monotone(votes, own.astype(float), np.array(counts)[own], prior)
+        # Arrays, since every text is looked up in them.
+        self.knots = tuple(np.array(k) for k in _monotone(votes, own.astype(float), np.array(counts)[own], prior))
 
     def vector(self, text) -> dict:
         counts = self.vocabulary.counts(text)
