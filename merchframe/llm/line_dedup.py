@@ -12,9 +12,10 @@ lines have no tokens and always stay.
 3. Prefix filter: similar lines share one of the first floor(n / 5) + 1 tokens. Candidates must also
    pass the length filter, the positional filter and a parity bitmap, which bounds the symmetric
    difference of two sets from below.
-4. Each line first meets the first and the four preceding lines on each of its prefix tokens, and the
-   closest of them is verified. This settles members of large groups with one candidate a line
-   instead of all pairs. Lines still open are joined with all earlier lines on all prefix tokens.
+4. On prefix tokens that more than CROWD lines share, each line first meets the first and the four
+   preceding lines, and the closest of them is verified. This settles members of large groups with one
+   candidate a line instead of all pairs. Lines still open are joined with all earlier lines on all
+   prefix tokens.
 5. Candidates are verified on their whole token sets.
 """
 
@@ -28,12 +29,14 @@ MIN_TOKENS = 5
 MIN_JOINED = 4
 #: Characters of scripts written without blanks.
 _DENSE = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}\\p{IsTibetan}\u30fc]"
+#: One range without most signs and letters of other scripts: a quick test that all of them pass.
+_MAYBE_DENSE = "[\u0e00-\u1fff\u2e80-\U0010ffff]"
 #: Slots of the table of token frequencies: a bound on its size.
 FREQUENCY_SLOTS = 65_536
-#: Lines that a line meets on each of its prefix tokens: the first one and those just before it.
+#: Lines that a line meets on each of its crowded prefix tokens: the first one and those just before it.
 MATES = 5
-#: A token with this share of all tokens is dealt over SALTS tasks when lines meet.
-HOT_SHARE, SALTS = 1 / 1024, 64
+#: A prefix token of more lines is crowded; its lines meet in parts of about PART_LINES.
+CROWD, PART_LINES = 128, 10_000
 
 _NO_DOC = -(2**63)
 
@@ -58,8 +61,9 @@ def _words(line: Column) -> Column:
         F.split(F.regexp_replace(line, f"{_DENSE}+", " "), " "),
         F.regexp_extract_all(line, F.lit(f"(?=({_DENSE}{{3}}))"), F.lit(1)),
         F.regexp_extract_all(line, F.lit(f"(?<!{_DENSE}){_DENSE}{{1,2}}(?!{_DENSE})"), F.lit(0)))
-    # A dense character takes three bytes or more, so most lines need no pattern.
-    dense = (F.octet_length(line) >= F.char_length(line) + 2) & line.rlike(_DENSE)
+    # A dense character takes three bytes or more, so most lines need no pattern; the scripts of a
+    # character are costly to look up.
+    dense = (F.octet_length(line) >= F.char_length(line) + 2) & line.rlike(_MAYBE_DENSE) & line.rlike(_DENSE)
     return F.when(dense, groups).otherwise(F.split(line, " "))
 
 
@@ -74,12 +78,6 @@ def _frequency_classes(docs: DataFrame) -> list[int]:
     return classes
 
 
-def _hot_class(classes: list[int]) -> int:
-    """Class from which a slot holds HOT_SHARE of all tokens, or nearly so."""
-    total = sum(1 << c >> 1 for c in classes)
-    return max(1, int(total * HOT_SHARE).bit_length())
-
-
 def _tokens(line: Column, classes: Column) -> Column:
     """Distinct tokens as numbers that sort by rarity: frequency class above 57 bits of a hash."""
     hashes = F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w))
@@ -102,22 +100,14 @@ def _bitmap(odd: int) -> Column:
 
 
 def _occurrences(docs: DataFrame, classes: list[int], least: int) -> DataFrame:
-    """Every compared line: position, 128-bit key of its token set, size, prefix and bitmaps.
-
-    A hot token is negative in the prefix.
-    """
+    """Every compared line: position, 128-bit key of its token set, size, prefix and bitmaps."""
     lines = _keys(docs).select("doc", "version", F.posexplode(F.split(_clean("text"), "\n")).alias("line", "words"))
     sets = lines.select("doc", "version", "line", _tokens(F.col("words"), _table(classes)).alias("tokens")).withColumn(
         "size", F.size("tokens")).where(F.col("size") >= max(least, 1))
-    low, hot = F.lit(2**31 - 1), F.lit(_hot_class(classes) << 57)
-
-    def short(t):
-        return F.when(t < hot, t.bitwiseAND(low)).otherwise(-1 - t.bitwiseAND(low)).cast("int")
-
     return sets.select(
         "doc", "version", "line", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"), "size",
         F.transform(F.slice("tokens", 1, F.when(F.col("size") < MIN_JOINED, 0).otherwise(
-            F.floor(F.col("size") / 5).cast("int") + 1)), short).alias("prefix"),
+            F.floor(F.col("size") / 5).cast("int") + 1)), lambda t: t.bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("prefix"),
         _bitmap(0).alias("b0"), _bitmap(1).alias("b1"))
 
 
@@ -132,11 +122,18 @@ _SIMILAR = f"""5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)
     AND 9 * {_APART} <= x.size + y.size"""
 
 
+def _crowded(firsts: DataFrame) -> DataFrame:
+    """Prefix tokens of more than CROWD lines, counted before the shuffle: token, parts."""
+    counts = firsts.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return settle(counts.where(F.col("n") > CROWD).select(
+        "token", F.ceil(F.col("n") / PART_LINES).alias("parts")), "line-crowds")
+
+
 def _closest(firsts: DataFrame) -> DataFrame:
-    """Pairs (x, y): for each line the closest of the lines that it meets on its prefix tokens, if any."""
-    salt = F.when(F.col("token") < 0, F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(F.lit(0))
-    posts = _postings(firsts.withColumn("limit", F.col("doc")), "prefix").withColumn("salt", salt)
-    w = W.partitionBy("token", "salt").orderBy("doc", "line", "k1")
+    """Pairs (x, y): for each line the closest of the lines that it meets on crowded prefix tokens, if any."""
+    posts = _postings(firsts.withColumn("limit", F.col("doc")), "prefix").join(small_side(_crowded(firsts)), "token")
+    posts = posts.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
+    w = W.partitionBy("token", "part").orderBy("doc", "line", "k1")
     x = F.struct("k1", "size", "at", "b0", "b1")
     met = posts.select(x.alias("x"), F.first(x).over(w).alias("y0"),
                        *[F.lag(x, k).over(w).alias(f"y{k}") for k in range(1, MATES)])
@@ -146,7 +143,7 @@ def _closest(firsts: DataFrame) -> DataFrame:
         return F.expr(f"CASE WHEN {y}.k1 != x.k1 AND {ok} THEN struct({apart} AS apart, {y}.k1 AS k1) END")
 
     met = met.select(F.col("x.k1").alias("x"), F.least(*[candidate(f"y{k}") for k in range(MATES)]).alias("y"))
-    return met.where("y IS NOT NULL").groupBy("x").agg(F.min("y").alias("y")).select("x", F.col("y.k1").alias("y"))
+    return met.where("y IS NOT NULL").groupBy("x").agg(F.min_by("y.k1", "y.apart").alias("y"))
 
 
 def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, classes: list[int]) -> DataFrame:
@@ -154,9 +151,9 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, classes: lis
     pairs = settle(pairs, "line-pairs")
     wanted = pairs.select(F.col("x").alias("k1")).union(pairs.select("y")).distinct()
     places = settle(firsts.join(wanted, "k1").select("k1", "k2", "doc", "version", "line"), "line-places")
-    lines = _keys(docs).join(small_side(places), ["doc", "version"]).select(
-        "k1", "k2", "doc", "version", "line",
-        _tokens(F.get(F.split(_clean("text"), "\n"), "line"), _table(classes)).alias("tokens"))
+    every = _keys(docs).select("doc", "version", F.posexplode(F.split(_clean("text"), "\n")).alias("line", "words"))
+    lines = every.join(small_side(places), ["doc", "version", "line"]).select(
+        "k1", "k2", "doc", "version", "line", _tokens(F.col("words"), _table(classes)).alias("tokens"))
     # Repeated rows give a line twice.
     lines = settle(lines.dropDuplicates(["k1", "k2"]), "line-tokens")
     x = lines.select(F.col("k1").alias("x"), F.col("k2").alias("x2"), F.struct("doc", "version", "line").alias("px"),

@@ -74,3 +74,31 @@ def test_columns_of_any_name(spark):
     assert out.columns == ["doc_id", "text", "_doc", "_lines", "_Version", "n_removed"]
     got = {r.doc_id: tuple(r) for r in out.collect()}
     assert got == {1: (1, rows[0][1], "a", [1], "v", 0), 2: (2, "other", "b", [2], "w", 1)}
+
+
+def test_crowded_tokens(spark, monkeypatch):
+    """Groups of near copies on both sides of the bound of crowded tokens, in parts of few lines."""
+    monkeypatch.setattr(line_dedup, "PART_LINES", 20)
+    r = np.random.RandomState(5)
+    base = [f"w{x}" for x in range(30)]
+    made = []
+    for k in range(180):
+        words = list(base)
+        for x in r.choice(30, size=r.randint(0, 6), replace=False):
+            words[x] = f"e{r.randint(400)}"
+        made.append((k, " ".join(words) + "\n" + " ".join(f"o{v}" for v in r.randint(60, size=8))))
+    earlier, want = [], {}
+    for i, t in made:
+        keep = []
+        for line in t.split("\n"):
+            s = tokens(line)
+            if not any(len(s & e) * 5 >= 4 * len(s | e) for e in earlier):
+                keep.append(line)
+            earlier.append(s)
+        want[i] = "\n".join(keep)
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    for crowd in (1, line_dedup.CROWD):
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+        got = {x.doc_id: x.text for x in line_dedup.dedup_lines(docs, least=1).collect()}
+        assert got == want
+    assert 20 < sum(len(x) < len(t) for (_, t), x in zip(made, want.values())) < 180
