@@ -23,6 +23,7 @@ from array import array
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from merchframe.llm.common import settle, ship_package
@@ -83,6 +84,7 @@ class Model:
             self.names[i] = piece.encode("utf-8", "surrogatepass")
         for b, i in enumerate(byte_ids):
             self.names[i] = bytes([b])
+        self.spelled = pa.array(self.names, pa.binary())
 
     def _number_prefixes(self) -> None:
         """Arrays for many words at once: sign numbers, steps between prefixes, and the score and id of
@@ -277,13 +279,19 @@ class Model:
         """First safe cut that every left state has passed, and last safe cut of a chunk."""
         if not self.cuts:
             return None
-        cuts = [m.start() for m in self.border.finditer(text) if self.longest <= m.start() <= size]
-        return (cuts[0], cuts[-1]) if cuts else None
+        first = self.border.search(text, self.longest, size + 1)
+        if first is None:
+            return None
+        last = text.rfind(BLANK, 0, size + 1)
+        while text[last - 1] == BLANK:
+            last = text.rfind(BLANK, 0, last)
+        return first.start(), last
 
     def transfer(self, text: str, size: int) -> np.ndarray:
-        """Matrix of best scores from left states to right states of a chunk.
+        """Matrix of best scores from left states to right states of a chunk, less a number of its own.
 
-        `text` is the chunk, of `size` characters, and the longest piece less one of what follows.
+        `text` is the chunk, of `size` characters, and the longest piece less one of what follows. What lies
+        between two safe cuts is the same on every path: it changes no choice, so its score is left out.
         """
         n, right = self.longest, min(self.longest - 1, len(text) - size)
         out = np.full((n, n), _NONE)
@@ -291,9 +299,8 @@ class Model:
         if cut:
             first, last = cut
             into = np.array(self.before(text, first)[:n])
-            between = sum(self.of_word(w)[0] for w in self.word.findall(text[first:last]))
             out_of = self.best(text, last, size, size + right)[0][size - last:]
-            out[:, :right + 1] = into[:, None] + between + np.array(out_of)
+            out[:, :right + 1] = into[:, None] + np.array(out_of)
             return out
         # No safe cut: all left states at once, as vectors.
         score = np.full((size + right + 1, n), _NONE)
@@ -321,6 +328,20 @@ class Model:
         text = b"".join(map(self.names.__getitem__, ids)).decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if first and text.startswith(" ") else text
 
+    def decode_lists(self, ids: pa.ListArray, first: pa.Array) -> pa.Array:
+        """decode() of many rows at once; rows of bytes that are no UTF-8 are decoded one by one."""
+        spelled = self.spelled.take(ids.flatten())
+        if spelled.null_count:
+            raise ValueError("ids without a spelling")
+        ends = np.cumsum([0, *pc.fill_null(ids.value_lengths(), 0).to_pylist()], dtype=np.int64)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spelled), b"")
+        try:
+            text = joined.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([self.decode(i, f) for i, f in zip(ids.to_pylist(), first.to_pylist())], pa.string())
+        text = pc.replace_substring(text, BLANK, " ")
+        return pc.if_else(pc.and_(first, pc.starts_with(text, " ")), pc.utf8_slice_codeunits(text, 1), text)
+
 
 def _slices(batches):
     """Batches in small parts, so that few rows of ids are held at once."""
@@ -407,9 +428,6 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
     def matrices(batches):
         model = Model.get(model_path)
         for pdf in batches:
-            if model.cuts:
-                for at in range(0, len(pdf), OUT_ROWS):
-                    model.split(list(pdf["text"][at:at + OUT_ROWS]))
             pdf["matrix"] = [model.transfer(t + a, len(t)).tobytes() for t, a in zip(pdf.pop("text"), pdf.pop("after"))]
             yield pdf
 
@@ -450,8 +468,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches):
         model = Model.get(model_path)
         for x in _slices(batches):
-            ids, part = x.column("ids").to_pylist(), x.column("part").to_pylist()
-            text = pa.array([model.decode(i, p == 0) for i, p in zip(ids, part)], pa.string())
+            text = model.decode_lists(x.column("ids"), pc.equal(x.column("part"), 0))
             yield pa.RecordBatch.from_arrays([*map(x.column, ("doc_id", "part", "ids")), text], ["doc_id", "part", "ids", "text"])
 
     ids = encoded.select("doc_id", "part", "ids")
