@@ -32,7 +32,7 @@ from merchframe.llm.common import settle, ship_package
 CHUNK, FAN = 16_384, 64
 BLANK = "▁"
 #: Words whose segmentation a worker keeps, and rows it returns at once.
-CACHE_WORDS, OUT_ROWS = 500_000, 500
+CACHE_WORDS, OUT_ROWS = 300_000, 500
 #: Longest word that is kept in the cache and segmented with others of its length.
 WORD = 64
 #: Fewer new words of a length are segmented one by one, which is then faster.
@@ -155,7 +155,7 @@ class Model:
         ids = [i for (a, p), e in zip(steps, ends) for i in self.ids_of(text, a, e, p)]
         return score[-1], array("i", ids).tobytes()
 
-    def of_word(self, word: str) -> tuple[float, bytes]:
+    def of_word(self, word: str) -> bytes:
         hit = self.known.get(word)
         if hit is None:
             if len(self.known) >= CACHE_WORDS:
@@ -163,8 +163,7 @@ class Model:
             # No piece spans a pair of characters that no piece holds, so parts between them stand alone.
             cuts = [k for k in range(1, len(word)) if word[k - 1:k + 1] not in self.pairs]
             if cuts:
-                parts = [self.of_word(word[a:b]) for a, b in zip([0, *cuts], [*cuts, len(word)])]
-                hit = sum(p[0] for p in parts), b"".join(p[1] for p in parts)
+                hit = b"".join([self.of_word(word[a:b]) for a, b in zip([0, *cuts], [*cuts, len(word)])])
             else:
                 hit = self._segment(word)
             if len(word) <= WORD:
@@ -185,13 +184,13 @@ class Model:
             codes = np.array(group, f"<U{n}").view(np.uint32).reshape(-1, n)
             signs = self.sign[codes]
             plain = np.flatnonzero(signs.all(axis=1))
-            score, ids, counts = self._segment_equal(signs[plain])
+            ids, counts = self._segment_equal(signs[plain])
             flat, ends = ids.tobytes(), 4 * n * np.arange(1, len(plain) + 1)
-            for k, s, a, b in zip(plain.tolist(), score.tolist(), (ends - 4 * counts).tolist(), ends.tolist()):
-                self.known[group[k]] = s, flat[a:b]
+            for k, a, b in zip(plain.tolist(), (ends - 4 * counts).tolist(), ends.tolist()):
+                self.known[group[k]] = flat[a:b]
 
     def _segment_equal(self, signs: np.ndarray):
-        """_segment() of words of one length and known signs: scores, ids at the right end, their counts."""
+        """_segment() of words of one length and known signs: ids at the right end, their counts."""
         m, n = signs.shape
         score, last = np.full((n + 1, m), _NONE), np.zeros((n + 1, m), np.int32)
         piece = np.full((n + 1, m), -1, np.int32)
@@ -217,10 +216,10 @@ class Model:
             at = last[at, rows]
             on = at > 0
             rows, at = rows[on], at[on]
-        return score[n], ids, counts
+        return ids, counts
 
-    def _segment(self, word: str) -> tuple[float, bytes]:
-        """Like trace() of the whole word, in one loop, since most of the time goes here."""
+    def _segment(self, word: str) -> bytes:
+        """The ids of trace() of the whole word, in one loop, since most of the time goes here."""
         n, longest, prefixes = len(word), self.longest, self.prefixes
         score, last = [_NONE] * (n + 1), [None] * (n + 1)
         score[0] = 0.0
@@ -248,7 +247,7 @@ class Model:
                 ids += reversed(self.ids_of(word, at, end, piece))
             end = at
         ids.reverse()
-        return score[n], array("i", ids).tobytes()
+        return array("i", ids).tobytes()
 
     def split(self, texts: list[str]) -> list[list[str]]:
         """The words of texts; new ones are put into the cache."""
@@ -263,7 +262,7 @@ class Model:
 
     def words(self, text: str) -> bytes:
         known, of_word = self.known, self.of_word
-        return b"".join([(known.get(word) or of_word(word))[1] for word in self.word.findall(text)])
+        return b"".join([known.get(word) or of_word(word) for word in self.word.findall(text)])
 
     def whole(self, text: str) -> np.ndarray:
         return np.frombuffer(self.wholes([text])[0], np.int32)
@@ -273,7 +272,7 @@ class Model:
         if not self.cuts:
             return [self.trace(t, 0, len(t), len(t))[1] for t in texts]
         found, known, of_word = self.split(texts), self.known, self.of_word
-        return [b"".join([(known.get(word) or of_word(word))[1] for word in words]) for words in found]
+        return [b"".join([known.get(word) or of_word(word) for word in words]) for words in found]
 
     def borders(self, text: str, size: int) -> tuple[int, int] | None:
         """First safe cut that every left state has passed, and last safe cut of a chunk."""
