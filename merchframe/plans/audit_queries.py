@@ -168,7 +168,7 @@ WITH {SCORES} SELECT store_url, CASE WHEN score_overall >= 7.5 THEN {_sentence(_
 
 
 def write_documents(spark, sf):
-    rows = I.store_signals(spark, sf).withColumns({"audit_date": F.lit(DATE), "audit_mode": F.lit("cro")})
+    rows = I.store_signals(spark, sf, wide=True).withColumns({"audit_date": F.lit(DATE), "audit_mode": F.lit("cro")})
     folder = shared_folder(spark, "audits")
     write_audit_json(audit.audit_document(rows), folder)
     schema = ("audit string, store_url string, audit_date string, pages_crawled array<string>, "
