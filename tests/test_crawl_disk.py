@@ -1,15 +1,19 @@
 """Crawled stores to product rows: what a step shuffles is gone before the next, and blocks of pages change no row."""
 
+import glob
+import os
 import re
 import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from merchframe import session
 from merchframe.operators import mapping, payloads, products
 from merchframe.plans import product_queries
 from merchframe.schema import DRAFT_COLUMNS
-from merchframe.session import DROP_SHUFFLES, settle
+from merchframe.session import DROP_SHUFFLES, settle, settle_parts
 
 
 def _shuffles(spark):
@@ -54,11 +58,35 @@ def test_lean_tables_take_their_shuffles_off_the_disk(spark):
         spark.conf.unset(DROP_SHUFFLES)
 
 
-def test_steps_of_a_crawl_leave_no_shuffles(spark, tmp_path):
-    sf, before = _tables(spark, tmp_path), _shuffles(spark)
-    rows = product_queries.crawl_products(spark, sf)
-    assert not _left(spark, before)
-    assert rows.count() > 1500 and rows.where("pos = 0 AND title <> ''").count() == rows.select("feed_id").distinct().count()
+def _bytes(folder):
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(folder) for f in names if f.endswith(".parquet"))
+
+
+def test_steps_of_a_crawl_leave_no_shuffles_and_no_payloads(spark, tmp_path, monkeypatch):
+    for module in (session, product_queries):
+        monkeypatch.setattr(module, "shared_folder", lambda spark, name: f"{tmp_path}/{name}-{uuid.uuid4().hex}")
+    sf, before, got = _tables(spark, tmp_path), _shuffles(spark), []
+    for orders in (1000, 100):  # one job, six jobs
+        monkeypatch.setattr(product_queries, "ORDERS_PER_JOB", orders)
+        rows = product_queries.crawl_products(spark, sf)
+        assert not _left(spark, before)
+        got.append(sorted(map(tuple, rows.collect())))
+        before = _shuffles(spark)
+    assert got[0] == got[1] and len(got[0]) > 1500 and len(set(got[0])) == len(got[0])
+    sizes = {name: [_bytes(f) for f in glob.glob(f"{tmp_path}/{name}-*")] for name in ("payloads", "drafts")}
+    assert len(sizes["payloads"]) == 2 and max(sizes["payloads"]) < 5_000 < min(sizes["drafts"])
+
+
+def test_a_crawl_of_nothing(spark, tmp_path):
+    sf = _tables(spark, tmp_path / "some")
+    for name in ("orders", "lineitem"):
+        spark.read.parquet(f"{sf}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert product_queries.crawl_products(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_parts_of_a_table(spark):
+    parts = [spark.range(10 * n, 10 * n + 10) for n in range(3)]
+    assert [r.id for r in settle_parts(parts, "numbers").orderBy("id").collect()] == list(range(30))
 
 
 def test_wide_rows_of_a_crawl_are_shuffled_once_a_job(spark, tmp_path):
